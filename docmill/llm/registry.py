@@ -1,13 +1,14 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from docmill.llm import bpe
+from docmill.llm import bpe, mixing, simhash
 
-_MODULES = {"op4_bpe": bpe.op4_bpe}
+_QUERIES = {"op1_mixing": mixing.op1_mixing, "op4_bpe": bpe.op4_bpe, "op7_simhash": simhash.op7_simhash}
+_SQL = {"op1_mixing": mixing.OP1_SQL}
 
 
 def llm_queries():
-    return dict(_MODULES)
+    return dict(_QUERIES)
 
 
 def llm_oracle_sql():
-    return {}
+    return dict(_SQL)
