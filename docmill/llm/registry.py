@@ -1,9 +1,15 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from docmill.llm import bpe, mixing, simhash
+from docmill.llm import ann, bpe, maxscore, mixing, simhash
 
-_QUERIES = {"op1_mixing": mixing.op1_mixing, "op4_bpe": bpe.op4_bpe, "op7_simhash": simhash.op7_simhash}
-_SQL = {"op1_mixing": mixing.OP1_SQL}
+_QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_ann": ann.op2_ann,
+    "op4_bpe": bpe.op4_bpe,
+    "op7_simhash": simhash.op7_simhash,
+    "op9_maxscore": maxscore.op9_maxscore,
+}
+_SQL = {"op1_mixing": mixing.OP1_SQL, "op9_maxscore": maxscore.OP9_SQL}
 
 
 def llm_queries():
