@@ -1,15 +1,16 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from docmill.llm import ann, bpe, maxscore, mixing, simhash
+from docmill.llm import ann, bpe, maxscore, mixing, simhash, substrings
 
 _QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_ann": ann.op2_ann,
     "op4_bpe": bpe.op4_bpe,
+    "op6_substrings": substrings.op6_substrings,
     "op7_simhash": simhash.op7_simhash,
     "op9_maxscore": maxscore.op9_maxscore,
 }
-_SQL = {"op1_mixing": mixing.OP1_SQL, "op9_maxscore": maxscore.OP9_SQL}
+_SQL = {"op1_mixing": mixing.OP1_SQL, "op6_substrings": substrings.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL}
 
 
 def llm_queries():
