@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can express them, their SQL."""
 
-from docmill.llm import ann, bpe, maxscore, mixing, simhash, substrings
+from docmill.llm import ann, bpe, maxscore, mixing, simhash, substrings, toxicity
 
 _QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ _QUERIES = {
     "op6_substrings": substrings.op6_substrings,
     "op7_simhash": simhash.op7_simhash,
     "op9_maxscore": maxscore.op9_maxscore,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 _SQL = {"op1_mixing": mixing.OP1_SQL, "op6_substrings": substrings.OP6_SQL, "op9_maxscore": maxscore.OP9_SQL}
 
