@@ -144,18 +144,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return label(printed, id_col, max_bits)
 
 
-def label(printed: DataFrame, id_col: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """The same, from rows with their fingerprints."""
+def label(printed: DataFrame, id_col: str = "doc_id", max_bits: int = MAX_BITS, keep_root: bool = False) -> DataFrame:
+    """The same, from rows with their fingerprints; keep_root: also the component's least fingerprint."""
     least = _base.settle(printed.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     roots = components.components(links(least.select("fp"), "fp", max_bits), "simhash-cc")
     rooted = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     moved = rooted.where("fp != root")  # few: fingerprints that have a different neighbour
     minima = moved.groupBy("root").agg(F.min("least").alias("m"))
     named = least.join(minima, F.col("fp") == F.col("root"), "left").select(F.col("fp").alias("r"), F.least("least", "m").alias("component_id"))
-    by_print = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    by_print = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", *["root"] * keep_root)
     return printed.join(by_print, F.col("fp") == F.col("f")).drop("f")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """docs with one row of each component: that of the smallest id, and of rows with that id one of the smallest text hash and text.
+
+    Fingerprints decide what goes before any text moves; only ids and hashes are shuffled for the choice."""
+    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(_base.text_or_empty(text_col)).alias("h"))
+    printed = _base.settle(fingerprints(docs.select(text_col, key.alias("k")), text_col, "fp", shingle), "simhash-prints")
+    grouped = label(printed.withColumn("_i", F.col("k.i")), "_i", max_bits, keep_root=True)
+    first = grouped.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.i").alias("_ki"), F.col("k.h").alias("_kh"))
+    whole = docs.withColumns({"_h": F.xxhash64(_base.text_or_empty(text_col))})
+    kept = whole.join(first, F.col(id_col).eqNullSafe(F.col("_ki")) & (F.col("_h") == F.col("_kh")), "left_semi")
+    once = kept.groupBy(F.col(id_col).alias("_g"), "_h").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.select("_row.*")
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = near_duplicates(_base.table(spark, sf_dir, "documents"))
