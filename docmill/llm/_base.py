@@ -83,7 +83,7 @@ def spans(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _M = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(0xD1342543DE82EF95)
 _P_INV = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-_BYTE_CODE = np.random.RandomState(20).randint(1, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_CODES = [np.random.RandomState(seed).randint(1, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20, 21)]
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -117,8 +117,9 @@ def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hashes(_BYTE_CODE[data], starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A hash of each word; families (0 and 1) are independent."""
+    return range_hashes(_BYTE_CODES[family][data], starts, ends)
 
 
 def concat_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -7,9 +7,12 @@ fingerprints among the hashes of their runs of ``GRAM`` words, so only those lea
 The index is log-structured. Each batch of documents becomes one immutable run of (fingerprint, document, places),
 sorted by fingerprint; runs are merge-joined to find the fingerprints that repeat within a batch or between it and
 history, and are compacted into one when there are more than ``MAX_RUNS``. The index can stay on disk and go on with
-later batches: ``deduplicate(new, index=index, history=old)``. Windows whose least fingerprint repeats are then verified: the 128-bit hashes of
-their exact words are counted over all documents, and a window repeats if its hash occurs at two places.
-Positions of verified windows go back to their documents, and covered words are removed.
+later batches: ``deduplicate(new, index=index, history=old)``. Windows whose least fingerprint repeats are then verified by
+an independent hash of all their words, counted over all documents together with the fingerprint (128 bits). The hashes of
+verified windows reach the documents by way of their fingerprints, and covered words are removed.
+
+Of exact copies one document stands for all in the verification: a window of a text that is there twice repeats anyway.
+Texts are shuffled compressed, since they make up most of what moves.
 
 Cases: null and empty texts have no words and stay empty; texts shorter than a window are
 kept; repeated rows (equal id and text) count as separate places, so each covers the other; a window may
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +92,27 @@ def _same_key(a: str, b: str):
     return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._th") == F.col(f"{b}._th"))
 
 
+def _packed(df: DataFrame, text_field: str) -> DataFrame:
+    """df with its text column as compressed bytes, for the shuffle that follows."""
+    types = ", ".join(f"`{c}` {'binary' if c == text_field else df.schema[c].dataType.simpleString()}" for c in df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in _base.chunks(batches, text_field):
+            at = batch.schema.get_field_index(text_field)
+            packed = pa.array([pack(t) if t is not None else None for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, types)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], text_field: str):
+    """(batch, texts as bytes or None) in pieces of bounded size."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in _base.chunks(batches, text_field, _base.CHUNK_BYTES // 4):
+        yield batch, [unpack(t) if t is not None else None for t in batch.column(batch.schema.get_field_index(text_field)).to_pylist()]
+
+
 def document_prints(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(_id, _th, fp, places): the index entries of each document."""
     id_type = keyed.schema["_id"].dataType.simpleString()
@@ -138,76 +162,94 @@ class FingerprintIndex:
         return self.entries().select("_id", "_th", "fp").join(totals.hint("merge"), "fp")
 
 
-def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
-    """(_id, _th, at): the first word of each window that also starts anywhere else, one row for each row that has it.
-    keyed documents are added to the index in batches; history holds the documents of its earlier runs."""
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(_id, _th, _stands) of the texts that are there more than once; one id of each text stands for all."""
+    keys = keyed.select("_id", "_th", F.xxhash64(F.lit(7), "_text").alias("_t2"))
+    several = keys.groupBy("_th", "_t2").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).where("_n > 1").drop("_n")
+    members = keys.join(several.hint("merge"), ["_th", "_t2"]).select("_id", "_th", F.col("_id").eqNullSafe(F.col("_first")).alias("_stands"))
+    return _base.settle(members.distinct(), "copies")
+
+
+def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(_id, _th, _hs): for each text that is there once, the hashes of its windows that also start anywhere else; and the
+    texts that are there more than once, (_id, _th, _stands). keyed documents are added to the index in batches; history holds the
+    documents of its earlier runs."""
     index = index or FingerprintIndex.fresh(keyed.sparkSession)
     for b in range(batches):
         index.add(document_prints(keyed.where(F.pmod(F.col("_th"), F.lit(batches)) == b), window, gram))
-    hot = index.repeating().groupBy("_id", "_th").agg(F.collect_set("fp").alias("_fps"))
     everything = keyed.unionByName(history) if history is not None else keyed
-    with_prints = everything.alias("d").join(hot.alias("h"), _same_key("d", "h")).select("d._id", "d._th", "_text", "_fps")
-    id_type = keyed.schema["_id"].dataType.simpleString()
+    copies = _copies(everything)
+    repeating = _base.settle(index.repeating(), "repeating")
+    hot = repeating.groupBy("_id", "_th").agg(F.collect_set("fp").alias("_fps")).alias("h")
+    hot = hot.join(copies.alias("c"), _same_key("h", "c"), "left").where(F.coalesce("_stands", F.lit(True)))
+    hot = hot.select("h._id", "h._th", "_fps", F.when(F.col("_stands"), 2).otherwise(1).alias("_weight"))
+    with_prints = _packed(everything, "_text").alias("d").join(hot.alias("h"), _same_key("d", "h")).select("_text", "_fps", "_weight")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for batch in _base.chunks(batches, "_text"):
-            texts = _base.texts_bytes(batch.column(2))
+        for batch, texts in _unpacked(batches, "_text"):
             least, has, first, (data, starts, ends), _ = _least(texts, window, gram)
-            wanted = batch.column(3)
-            owner, at, hashes = [], [], []
+            words = _base.word_hashes(data, starts, ends, 1)
+            prints, hashes, weights = [], [], []
+            wanted, weight = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
             for m, i in zip(least, has.tolist(), strict=True):
                 hits = np.flatnonzero(np.isin(m, wanted[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-                if not len(hits):
-                    continue
-                a, b = first[i], first[i + 1]
-                plain = b" ".join(texts[i].split())
-                length = ends[a:b] - starts[a:b] + 1
-                to = np.cumsum(length)
-                hashes += [digest(plain[x:y]) for x, y in zip((to - length)[hits].tolist(), (to[hits + window - 1] - 1).tolist(), strict=True)]
-                owner.append(np.full(len(hits), i))
-                at.append(hits)
-            if owner:
-                whose = pa.array(np.concatenate(owner))
-                two = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), batch.column(1).take(whose), pa.array(np.concatenate(at).astype(np.int32)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["_id", "_th", "at", "h1", "h2"])
-
-    windows = _base.settle(with_prints.mapInArrow(run, f"_id {id_type}, _th bigint, at int, h1 bigint, h2 bigint"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").select("h1", "h2")
-    return windows.join(twice, ["h1", "h2"]).select("_id", "_th", "at")
+                prints.append(m[hits])
+                hashes.append(_base.range_hashes(words, first[i] + hits, first[i] + hits + window))
+                weights.append(np.full(len(hits), weight[i]))
+            if not prints:
+                continue
+            p, h, w = np.concatenate(prints), np.concatenate(hashes), np.concatenate(weights)
+            order = np.lexsort((p, h))
+            p, h, w = p[order], h[order], w[order]
+            new = np.ones(len(p), bool)
+            new[1:] = (p[1:] != p[:-1]) | (h[1:] != h[:-1])
+            at = np.flatnonzero(new)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(_base.as_signed(p[at])), pa.array(_base.as_signed(h[at])), pa.array(np.add.reduceat(w, at).astype(np.int64))], ["fp", "h", "n"])
+
+    seen = with_prints.mapInArrow(run, "fp bigint, h bigint, n bigint")
+    lists = seen.groupBy("fp", "h").agg(F.sum("n").alias("n")).where("n > 1").groupBy("fp").agg(F.collect_list("h").alias("hs"))
+    single = repeating.alias("r").join(copies.alias("c"), _same_key("r", "c"), "left_anti")
+    by_doc = single.join(lists.hint("merge"), "fp").groupBy("_id", "_th").agg(F.flatten(F.collect_list("hs")).alias("_hs"))
+    return by_doc, copies
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """docs with kept_text (kept words joined by one space), n_words and n_removed. With an index of earlier
     batches, history are those batches' documents; only docs are returned."""
     outputs = ("kept_text", "n_words", "n_removed")
-    docs = docs.select(*[c for c in docs.columns if c not in (*outputs, "_at")])
+    docs = docs.select(*[c for c in docs.columns if c not in (*outputs, "_hs", "_copy")])
     old = _keyed(history, id_col, text_col) if history is not None else None
-    found = repeated_windows(_keyed(docs, id_col, text_col), window, gram, batches, index, old)
-    covers = found.groupBy("_id", "_th").agg(F.collect_set("at").alias("_at"))
-    whole = docs.withColumns({"_th": F.xxhash64(_base.text_or_empty(text_col)), "_id": F.col(id_col)})
-    kept = [c for c in docs.columns]
-    joined = whole.alias("d").join(covers.alias("c"), _same_key("d", "c"), "left").select(*[F.col(f"d.`{c}`") for c in kept], "_at")
+    by_doc, copies = repeated_windows(_keyed(docs, id_col, text_col), window, gram, batches, index, old)
+    whole = docs.withColumns({"_id": F.col(id_col), "_th": F.xxhash64(_base.text_or_empty(text_col))})
+    marks = by_doc.withColumn("_copy", F.lit(False)).unionByName(copies.select("_id", "_th", F.lit(True).alias("_copy")), allowMissingColumns=True)
+    kept = docs.columns
+    packed = _packed(whole, text_col)
+    joined = packed.alias("d").join(marks.alias("m"), _same_key("d", "m"), "left").select(*[F.col(f"d.`{c}`") for c in kept], "_hs", "_copy")
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _base.chunks(batches, text_col):
-            texts = _base.texts_bytes(batch.column(batch.schema.get_field_index(text_col)))
-            covers = batch.column(batch.schema.get_field_index("_at"))
+        for batch, texts in _unpacked(batches, text_col):
+            covers, copy = batch.column(batch.schema.get_field_index("_hs")), batch.column(batch.schema.get_field_index("_copy")).to_pylist()
             out, n_words, n_removed = [], [], []
             for i, text in enumerate(texts):
-                words = text.split()
+                words = (text or b"").split()
                 n_words.append(len(words))
-                if covers[i].is_valid:
-                    at = covers[i].values.to_numpy(zero_copy_only=False)
+                if len(words) >= window and copy[i]:
+                    words = []
+                elif len(words) >= window and covers[i].is_valid:
+                    data, starts, ends, _ = _words([text])
+                    at = np.arange(len(words) - window + 1)
+                    hashes = _base.range_hashes(_base.word_hashes(data, starts, ends, 1), at, at + window)
+                    hits = np.flatnonzero(np.isin(hashes, covers[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
                     depth = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(depth, at, 1)
-                    np.add.at(depth, at + window, -1)
-                    free = np.cumsum(depth)[:-1] == 0
-                    words = [words[k] for k in np.flatnonzero(free).tolist()]
+                    depth[hits] += 1
+                    depth[hits + window] -= 1
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(depth)[:-1] == 0).tolist()]
                 n_removed.append(n_words[-1] - len(words))
                 out.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*kept, *outputs])
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*kept, *outputs])
 
     return joined.mapInArrow(run, f"{types}, kept_text string, n_words bigint, n_removed bigint")
 
