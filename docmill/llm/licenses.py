@@ -47,7 +47,7 @@ def _terms_of(text: str) -> dict[str, int]:
 
 
 def _folded(text: Column) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+    return F.lower(text)
 
 
 def _terms(folded: Column) -> Column:
@@ -75,11 +75,11 @@ def _vectors(n: int, df: dict[str, int], templates):
 
 
 def _anchors(vectors, threshold: float) -> list[str]:
-    """Terms so that a text with none of them has a cosine below the threshold to every template."""
+    """Terms so that a text with none of them has a cosine below the threshold to every template; heavy and long ones, as those are rare in texts."""
     out: set[str] = set()
     for v in vectors:
         left = 1.0
-        for t, x in sorted(v.items(), key=lambda p: (p[0] not in out, -p[1], p[0])):
+        for t, x in sorted(v.items(), key=lambda p: (p[0] not in out, -p[1] * len(p[0]), p[0])):
             if left < threshold**2 * (1 - 1e-9):
                 break
             out.add(t)
@@ -92,14 +92,15 @@ def matches(docs: DataFrame, id_col: str, path_col: str, text_col: str, template
     n, df = frequencies(docs, text_col, templates)
     idf, unseen, vectors = _vectors(n, df, templates)
     text = _base.text_or_empty(text_col)
-    units = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), _folded(x).alias("unit")))
-    whole = F.when(F.coalesce(F.col(path_col), F.lit("")).rlike(licence_file), F.array(F.struct(F.lit(-1).alias("line"), _folded(text).alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
     anchors = _anchors(vectors, threshold)
-    has_anchor = lambda c: reduce(lambda a, b: a | b, [c.contains(t) for t in anchors])
-    units = F.filter(F.concat(whole, units), lambda u: has_anchor(u["unit"]))
+    has_anchor = lambda c: reduce(lambda a, b: a | b, [c.contains(t) for t in anchors])  # noqa: E731  as part of words too: cheap, and only a first filter
     key = [F.col(id_col).alias("_id"), F.col(path_col).alias("_path"), F.xxhash64(text).alias("_th")]
-    found = docs.where(has_anchor(_folded(F.col(text_col)))).select(*key, F.monotonically_increasing_id().alias("_row"), F.explode(units).alias("u"))
-    terms = found.select("_id", "_path", "_th", "_row", "u.line", F.explode(_terms(F.col("u.unit"))).alias("t")).where("t != ''")
+    found = docs.select(*key, _folded(F.col(text_col)).alias("low")).where(has_anchor(F.col("low")))
+    lines = F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
+    whole = F.when(F.coalesce(F.col("_path"), F.lit("")).rlike(licence_file), F.array(F.struct(F.lit(-1).alias("line"), F.col("low").alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
+    units = found.select("_id", "_path", "_th", F.monotonically_increasing_id().alias("_row"), F.explode(F.filter(F.concat(whole, lines), lambda u: has_anchor(u["unit"]))).alias("u"))
+    split = units.select("_id", "_path", "_th", "_row", "u.line", _terms(F.col("u.unit")).alias("ts")).where(F.arrays_overlap("ts", F.array(*map(F.lit, anchors))))
+    terms = split.select("_id", "_path", "_th", "_row", "line", F.explode("ts").alias("t")).where("t != ''")
     counted = terms.groupBy("_id", "_path", "_th", "_row", "line", "t").agg(F.count("*").alias("tf"))
     of = lambda values: F.create_map(*[F.lit(x) for p in sorted(values.items()) for x in p])
     weight = F.col("tf") * F.coalesce(of(idf)[F.col("t")], F.lit(unseen))
@@ -148,7 +149,7 @@ def op3_licenses(spark, sf_dir: str) -> DataFrame:
 
 def op3_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    fold = lambda c: f"translate({c}, '{_UPPER}', '{_LOWER}')"
+    fold = lambda c: f"lower({c})"
     rows = ", ".join(f"({i}, {quoted(n)}, {quoted(t)}, {c})" for i, (n, x) in enumerate(templates) for t, c in _terms_of(x).items())
     return f"""
 with d as (select doc_id, coalesce(text, '') as text, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || doc_id::varchar as path from documents),
