@@ -75,11 +75,11 @@ def _vectors(n: int, df: dict[str, int], templates):
 
 
 def _anchors(vectors, threshold: float) -> list[str]:
-    """Terms so that a text with none of them has a cosine below the threshold to every template; heavy and long ones, as those are rare in texts."""
+    """Terms so that a text with none of them has a cosine below the threshold to every template; heavy ones, which are rare in texts, and long ones, which are rare as parts of words."""
     out: set[str] = set()
     for v in vectors:
         left = 1.0
-        for t, x in sorted(v.items(), key=lambda p: (p[0] not in out, -p[1] * len(p[0]), p[0])):
+        for t, x in sorted(v.items(), key=lambda p: (p[0] not in out, -(p[1] ** 2) * min(len(p[0]), 6), p[0])):
             if left < threshold**2 * (1 - 1e-9):
                 break
             out.add(t)
