@@ -6,7 +6,7 @@ begins a word, then continuing pieces (single bytes among them, so that any word
 word is one more arc across its own lattice, weighted by its relative frequency after absolute discounting; what the discounts
 leave is the share of the pieces. A document's log10 probability is the sum over its words and its end.
 
-Counts cover all training documents. Words are looked up in two ways: the ``HEAD_WORDS`` most frequent ones of at most ``HEAD_BYTES`` bytes
+Counts cover all training documents. Words are looked up in two ways: the most frequent ones (at most ``HEAD_WORDS``) of at most ``HEAD_BYTES`` bytes
 (a proven bound) are sent to all tasks; what a document has besides is joined by word.
 
 Cases: null text counts as empty and has the end token only; words of any length are scored; documents without id count as
@@ -291,7 +291,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c > 0), pa.array(base), pa.array(both / np.log(10)), batch.column(2)], ["word", "known", "base", "lp", "a"])
 
     priced = _base.settle(words.mapInArrow(price, "word string, known boolean, base double, lp double, a bigint"), "lm-priced")
-    head = priced.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.col("a").desc(), "word").limit(HEAD_WORDS).select("word", "known", "base", "lp").toArrow().combine_chunks()
+    short = priced.where(F.octet_length("word") <= HEAD_BYTES)
+    head = short.where(F.col("a") >= _least_count(short)).select("word", "known", "base", "lp").toArrow().combine_chunks()
     columns = [head.column("word").cast(pa.binary()).combine_chunks(), *(head.column(x).to_numpy(zero_copy_only=False) for x in ("known", "base", "lp"))]
     sent, key = spark.sparkContext.broadcast(columns), uuid.uuid4().hex
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -330,6 +331,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     return out.drop("_m")
 
 
+def _least_count(words: DataFrame) -> int:
+    """The count from which at most HEAD_WORDS words occur so often: from a histogram of a few hundred steps, so that no task sorts the words."""
+    step = F.floor(F.log2(F.col("a").cast("double")) * 8).cast("int")
+    room, least = HEAD_WORDS, 1 << 62
+    for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("a").alias("a")).orderBy(F.col("s").desc()).collect():
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["a"]
+    return least
+
+
 _places: dict = {}
 
 
