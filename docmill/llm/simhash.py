@@ -32,8 +32,8 @@ SEED = 42
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text as uint64."""
+def _shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles' hashes, one text after the other, and the number of each text."""
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     digest = xxhash.xxh64_intdigest
@@ -46,7 +46,12 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
         else:
             hashes.extend([digest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))])
         counts[i] = len(hashes) - before
-    return _majority(np.array(hashes, np.uint64), counts)
+    return np.array(hashes, np.uint64), counts
+
+
+def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text as uint64."""
+    return _majority(*_shingle_hashes(texts, shingle))
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -144,30 +149,163 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return label(printed, id_col, max_bits)
 
 
-def label(printed: DataFrame, id_col: str = "doc_id", max_bits: int = MAX_BITS, keep_root: bool = False) -> DataFrame:
-    """The same, from rows with their fingerprints; keep_root: also the component's least fingerprint."""
+def label(printed: DataFrame, id_col: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
+    """The same, from rows with their fingerprints."""
     least = _base.settle(printed.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
     roots = components.components(links(least.select("fp"), "fp", max_bits), "simhash-cc")
     rooted = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     moved = rooted.where("fp != root")  # few: fingerprints that have a different neighbour
     minima = moved.groupBy("root").agg(F.min("least").alias("m"))
     named = least.join(minima, F.col("fp") == F.col("root"), "left").select(F.col("fp").alias("r"), F.least("least", "m").alias("component_id"))
-    by_print = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", *["root"] * keep_root)
+    by_print = rooted.join(named, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return printed.join(by_print, F.col("fp") == F.col("f")).drop("f")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each component: that of the smallest id, and of rows with that id one of the smallest text hash and text.
+WIDE_BYTES = 32
+PLACES = 3
+CHOICES = 72
+NEIGHBOURS = 3
+BLOCK = 512
+#: Fingerprints further apart than this are not looked at: texts of similarity 0.8 are some 7 bits apart, others some 30.
+FAR_BITS = 20
+SIMILARITY = 0.8
+SIMILAR_SHINGLE = 5
+
+
+def _choices() -> np.ndarray:
+    """CHOICES different sets of PLACES byte positions, always the same."""
+    random, out = np.random.RandomState(3), {}
+    while len(out) < CHOICES:
+        out[tuple(sorted(random.choice(WIDE_BYTES, PLACES, replace=False).tolist()))] = True
+    return np.array(list(out), np.int64)
+
+
+def wide_fingerprints(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """docs without the text, with fp and a fingerprint of 32 bytes from four independent mixtures of the same shingle hashes; fp is the first of them."""
+    kept = [c for c in docs.columns if c not in (text_col, "fp", "wide")]
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _base.chunks(batches, text_col):
+            hashes, counts = _shingle_hashes(_base.texts_bytes(batch.column(batch.schema.get_field_index(text_col))), shingle)
+            words = [_majority(hashes if k == 0 else _base.mix64(hashes + np.uint64(k)), counts) for k in range(WIDE_BYTES // 8)]
+            wide = np.ascontiguousarray(np.column_stack(words))
+            packed = pa.Array.from_buffers(pa.binary(8 * wide.shape[1]), len(wide), [None, pa.py_buffer(wide)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(_base.as_signed(words[0])), packed], [*kept, "fp", "wide"])
+
+    return docs.select(*kept, text_col).mapInArrow(run, f"{types}, fp bigint, wide binary")
+
+
+def _nearest_in_list(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each member's nearest others of a posting list, within blocks that also share a member with the next: linear in the list."""
+    us, vs = [], []
+    for at in range(0, len(prints), BLOCK):
+        block = prints[max(0, at - 1) : at + BLOCK]
+        apart = np.bitwise_count(block[:, None] ^ block[None, :]).astype(np.int16)
+        np.fill_diagonal(apart, 99)
+        k = min(NEIGHBOURS, len(block) - 1)
+        if k < 1:
+            continue
+        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+        i = np.repeat(np.arange(len(block)), k)
+        j = near.ravel()
+        close = apart[i, j] <= FAR_BITS
+        us.append(block[i[close]])
+        vs.append(block[j[close]])
+    none = np.zeros(0, np.uint64)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(u, v), u > v: fingerprints of texts that share the bytes at PLACES positions in one of the CHOICES and are near each other there.
+
+    reps: (fp, wide), one row for each fp."""
+    places = _choices()
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                if not part.num_rows:
+                    continue
+                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
+                keys = np.broadcast_to(np.arange(CHOICES, dtype=np.int64), (len(wide), CHOICES)).copy()
+                for p in range(PLACES):
+                    keys = (keys << 8) | wide[:, places[:, p]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), CHOICES))], ["key", "fp"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for members in batch.column(0):
+                u, v = _nearest_in_list(np.sort(members.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+                us.append(u)
+                vs.append(v)
+            if us:
+                u, v = (np.concatenate(x).view(np.int64) for x in (us, vs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    lists = reps.select("fp", "wide").select("fp", "wide").mapInArrow(post, "key bigint, fp bigint").groupBy("key").agg(F.collect_list("fp").alias("m")).where(F.size("m") > 1)
+    return lists.select("m").mapInArrow(link, "u bigint, v bigint").distinct()
+
+
+def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    words = text.translate(_base.LOWER).split()
+    digest = xxhash.xxh32_intdigest
+    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((digest(p) for p in parts), np.uint32)) if words else np.zeros(0, np.uint32)
+
+
+def similar(docs: DataFrame, edges: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The edges (u, v) whose texts' sets of shingles have at least that Jaccard similarity. reps: (fp, k) with k.i the id and k.h the text hash of a fingerprint's text."""
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(reps.select("fp", F.col("k.i").alias("_ki"), F.col("k.h").alias("_kh")), "fp")
+    text = _base.text_or_empty(text_col)
+    texts = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text).alias("_h"), text.alias("_text"))
+    texts = texts.join(nodes, F.col("_i").eqNullSafe(F.col("_ki")) & (F.col("_h") == F.col("_kh"))).select("_text", "fp")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _base.chunks(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([_shingle_set(t, shingle).tobytes() for t in _base.texts_bytes(batch.column(0))], pa.binary())], ["fp", "s"])
+
+    shingles = _base.settle(texts.mapInArrow(sets, "fp bigint, s binary").dropDuplicates(["fp"]), "simhash-sets")
+    pairs = edges.join(shingles.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(shingles.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = both >= similarity * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
+
+    return pairs.mapInArrow(verify, "u bigint, v bigint")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group: that of the smallest id, and of rows with that id one of the smallest text hash and text.
 
-    Fingerprints decide what goes before any text moves; only ids and hashes are shuffled for the choice."""
+    Texts group if their fingerprints are within max_bits, or if they are candidates and the Jaccard similarity of their sets of
+    five-word shingles is at least `similarity`. Candidates come from the same kind of index over a wider fingerprint; a pair of
+    similarity 0.8 shares one of its posting lists with probability 0.99 or so. Ids and hashes decide what goes before the kept texts move."""
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(_base.text_or_empty(text_col)).alias("h"))
-    printed = _base.settle(fingerprints(docs.select(text_col, key.alias("k")), text_col, "fp", shingle), "simhash-prints")
-    grouped = label(printed.withColumn("_i", F.col("k.i")), "_i", max_bits, keep_root=True)
-    first = grouped.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.i").alias("_ki"), F.col("k.h").alias("_kh"))
-    whole = docs.withColumns({"_h": F.xxhash64(_base.text_or_empty(text_col))})
+    printed = _base.settle(wide_fingerprints(docs.select(text_col, key.alias("k")), text_col, shingle), "simhash-prints")
+    reps = _base.settle(printed.groupBy("fp").agg(F.min("k").alias("k"), F.min_by("wide", "k").alias("wide")), "simhash-reps")
+    near = links(reps.select("fp"), "fp", max_bits)
+    found = _base.settle(candidates(reps), "simhash-candidates")
+    edges = near.unionByName(similar(docs, found, reps, id_col, text_col, similarity=similarity))
+    roots = components.components(edges, "simhash-cc")
+    rooted = reps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    first = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.i").alias("_ki"), F.col("k.h").alias("_kh"))
+    whole = docs.withColumn("_h", F.xxhash64(_base.text_or_empty(text_col)))
     kept = whole.join(first, F.col(id_col).eqNullSafe(F.col("_ki")) & (F.col("_h") == F.col("_kh")), "left_semi")
-    once = kept.groupBy(F.col(id_col).alias("_g"), "_h").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return once.select("_row.*")
+    several = _base.settle(printed.groupBy("k.i", "k.h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("i").alias("_ri"), F.col("h").alias("_rh")), "simhash-repeated")
+    if several.isEmpty():
+        return kept.select(*docs.columns)
+    marked = kept.join(several, F.col(id_col).eqNullSafe(F.col("_ri")) & (F.col("_h") == F.col("_rh")), "left").withColumn("_several", F.col("_rh").isNotNull())
+    alone = marked.where(~F.col("_several")).select(*docs.columns)
+    once = marked.where("_several").groupBy(F.col(id_col).alias("_g"), F.col("_h").alias("_gh")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return alone.unionByName(once.select("_row.*"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
