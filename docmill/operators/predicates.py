@@ -37,7 +37,7 @@ def _reference(value: Any) -> str | None:
 
 
 def equals(at: Resolved | None, value: Any) -> Column:
-    """Strictly typed equality with a literal; never null."""
+    """Strictly typed equality with a literal; null where the field is (which a filter takes for false), so that it can be pushed to the scan."""
     if value is None or value == "null":
         if at is None:
             return F.lit(True)
@@ -51,9 +51,9 @@ def equals(at: Resolved | None, value: Any) -> Column:
         typed = F.try_variant_get(at.col, "$", {"number": "double", "text": "string", "bool": "boolean"}.get(wanted, "string"))
         return fits & F.coalesce(typed == F.lit(value), F.lit(False))
     if kind == "time" and wanted == "text":
-        return F.coalesce(at.col == F.lit(value).cast(at.kind), F.lit(False))
+        return at.col == F.lit(value).cast(at.kind)
     if kind == wanted and kind != "other":
-        return F.coalesce(at.col == F.lit(value), F.lit(False))
+        return at.col == F.lit(value)
     if kind in ("list", "object") and isinstance(value, (list, dict)):
         return F.coalesce(F.to_json(at.col) == F.to_json(F.from_json(F.lit(_compact(value)), at.kind)), F.lit(False))
     return F.lit(False)
@@ -141,14 +141,15 @@ def clause(w: Where, resolve: Resolver, other: Resolver | None = None, compat: b
     if op == "eq":
         return equals(at, value)
     if op == "neq":
-        return ~equals(at, value)
+        plain = at is not None and value not in (None, "null") and _literal_family(value) == paths.family(at.kind)
+        return ~at.col.eqNullSafe(F.lit(value)) if plain else ~F.coalesce(equals(at, value), F.lit(False))
     if op in _ORDER:
         return _ordered(at, op, value)
     if op == "in":
         values = list(value)
         plain = [v for v in values if at is not None and _literal_family(v) == paths.family(at.kind) != "other"]
         rest = [equals(at, v) for v in values if v not in plain or v is None]
-        parts = ([F.coalesce(at.col.isin(plain), F.lit(False))] if plain else []) + rest
+        parts = ([at.col.isin(plain)] if plain else []) + rest
         return reduce(operator.or_, parts, F.lit(False)) if parts else F.lit(False)
     if op == "contains":
         return F.lit(False) if at is None else _contains(at, value, compat)
