@@ -189,14 +189,7 @@ class Codec:
                 n = np.array([len(t) for t in tokens], np.int64)
                 flat = np.array([t for ts in tokens for t in ts], np.int64)
         self.words_seen += len(words)
-        if self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.int32)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        first = len(self.memo)
-        self.memo.update(zip(words, range(first, first + len(words)), strict=True))
-        self.at.extend((self.used + np.cumsum(n) - n).tolist())
-        self.n.extend(n.tolist())
-        self.used += len(flat)
+        self._remember(words, flat, n)
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after the other, and the number of each text."""
@@ -211,41 +204,40 @@ class Codec:
             else:
                 words.extend(self.split.findall(text))
             counts.append(len(words) - before)
-        return self._assemble(words, np.array(counts, np.int64))
+        flat, lengths = self._encode_words(words)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        counted = np.array(counts, np.int64)
+        ends = np.cumsum(counted)
+        return flat, total[ends] - total[ends - counted]
 
-    def _assemble(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, one after the other, and the number of each word."""
         new = [w for w in set(words) if w not in self.memo]
         if len(self.memo) + len(new) > MEMO_WORDS:
             self._forget()
             new = list(set(words))
-            if len(new) > MEMO_WORDS:  # one chunk with more distinct words than the memo holds: in parts
-                cut = len(words) // 2
-                a, na = self._assemble(words[:cut], np.array([cut], np.int64))
-                b, nb = self._assemble(words[cut:], np.array([len(words) - cut], np.int64))
-                lengths = np.concatenate([self._last_lengths.pop(-2), self._last_lengths.pop()])
-                flat = np.concatenate([a, b])
-                return self._by_text(flat, lengths, counts)
-        specials = [w for w in new if w in self.special]
+            if len(new) > max(1, MEMO_WORDS):  # one chunk with more distinct words than the memo holds: in parts
+                half = len(words) // 2
+                (a, n), (b, m) = self._encode_words(words[:half]), self._encode_words(words[half:])
+                return np.concatenate([a, b]), np.concatenate([n, m])
         self.learn([w for w in new if w not in self.special])
-        for w in specials:
-            self.memo[w] = len(self.at)
-            if self.used == len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used] = self.special[w]
-            self.at.append(self.used)
-            self.n.append(1)
-            self.used += 1
+        for w in new:
+            if w in self.special:
+                self._remember([w], np.array([self.special[w]]), np.ones(1, np.int64))
         which = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         lengths = np.array(self.n, np.int64)[which]
         flat = self.flat[_base.ragged(np.array(self.at, np.int64)[which], lengths)] if len(words) else np.zeros(0, np.int32)
-        self._last_lengths = [*getattr(self, "_last_lengths", [])[-1:], lengths]
-        return self._by_text(flat, lengths, counts)
+        return flat, lengths
 
-    @staticmethod
-    def _by_text(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ends = np.cumsum(counts)
-        return flat, total[ends] - total[ends - counts]
+    def _remember(self, words: list[str], flat: np.ndarray, n: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.int32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        first = len(self.at)
+        self.memo.update(zip(words, range(first, first + len(words)), strict=True))
+        self.at.extend((self.used + np.cumsum(n) - n).tolist())
+        self.n.extend(n.tolist())
+        self.used += len(flat)
 
     def decode_bytes(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each text, from its ids."""
