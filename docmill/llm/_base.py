@@ -21,7 +21,19 @@ CHUNK_BYTES = 1 << 20
 _local_scratch: str | None = None
 
 
+#: Texts on their way to Python take at most so many bytes a batch (a single longer text makes a batch of its own).
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on an Arrow batch to BATCH_BYTES, so that long texts do not add up in a worker."""
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +51,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    bound_batches(df.sparkSession)
     path = f"{scratch_root(df.sparkSession)}/docmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -30,7 +30,7 @@ from docmill.llm import _base
 #: The split pattern of the byte-level vocabularies (a fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words that a worker remembers; beyond it the memo starts afresh.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 350_000
 
 
 def default_vocabulary() -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docmill.llm import _base, optim
 
 BUCKETS = 1 << 19
-SAMPLE = 10_000
+SAMPLE = 8000
 LEAST_DOCS = 5
 L2 = 0.002
 THRESHOLD = 0.2
@@ -87,7 +87,8 @@ def fit(rows: np.ndarray, buckets_of: np.ndarray, weights_of: np.ndarray, grades
     place = np.full(buckets, -1, np.int64)
     place[used] = np.arange(len(used))
     keep = place[buckets_of] >= 0
-    r, c, v = rows[keep], place[buckets_of[keep]], weights_of[keep]
+    r, c, v = rows[keep].astype(np.int64), place[buckets_of[keep]], weights_of[keep].astype(np.float32)
+    del rows, buckets_of, weights_of, keep
     n = len(grades)
     share = np.array([(grades > j).mean() for j in range(levels)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
@@ -141,7 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col:
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lambda name: pa.concat_arrays([c.flatten() for c in got.column(name).chunks]).to_numpy(zero_copy_only=False)
-    return fit(np.repeat(np.arange(len(sizes)), sizes), flat("b").astype(np.int64), flat("w").astype(np.float64), got.column("g").to_numpy().astype(np.int64))
+    buckets, weights, grades = flat("b"), flat("w"), got.column("g").to_numpy().astype(np.int64)
+    del got, lists  # the driver's memory holds one form of the sample at a time
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), buckets, weights, grades)
 
 
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
