@@ -7,6 +7,7 @@ chunks of at most ``CHUNK_BYTES`` of text (a single longer text makes a chunk of
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -23,17 +24,22 @@ _local_scratch: str | None = None
 
 #: Texts on their way to Python take at most so many bytes a batch (a single longer text makes a batch of its own).
 BATCH_BYTES = 8 << 20
+_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on an Arrow batch to BATCH_BYTES, so that long texts do not add up in a worker."""
+def prepare(spark: SparkSession) -> None:
+    """Lower the session's limit on an Arrow batch to BATCH_BYTES, so that long texts do not add up in a worker, and let
+    workers find this package where the driver did (a cluster's executors get it by --py-files, say)."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _HOME not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_HOME, known]))
     if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,7 +57,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    bound_batches(df.sparkSession)
+    prepare(df.sparkSession)
     path = f"{scratch_root(df.sparkSession)}/docmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
