@@ -29,6 +29,10 @@ from docmill.schema import CDC, EXTRA, CollectionSchema, parse
 from docmill.sources.store import CDC_TYPE, Store
 
 
+#: Commands on a collection whose plans may pile up in a transaction before the rows are written.
+STAGED_PLANS = 4
+
+
 def new_id() -> str:
     """An id that sorts by time."""
     return f"{int(time.time() * 1000):012x}{uuid.uuid4().hex[:20]}"
@@ -138,6 +142,8 @@ class Transaction:
         self.staged: dict[str, DataFrame] = {}
         self.touched: dict[str, list[tuple[str, DataFrame]]] = {}  # collection: (action, ids), in order
         self.open = True
+        self._depth: dict[str, int] = {}
+        self._folders: list[str] = []
 
     # reads
 
@@ -315,9 +321,24 @@ class Transaction:
         bad = after.select(key, s.errors(lambda p: paths.resolve(schema, p)).alias("errors")).where(F.size("errors") > 0).limit(3).collect()
         if bad:
             raise Validation(f"{collection} {bad[0][0]}: " + "; ".join(bad[0]["errors"]))
-        self.staged[collection] = current.join(after.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").unionByName(after)
+        self._stage(collection, current.join(after.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").unionByName(after))
         self.touched.setdefault(collection, []).append((action, rows.select(F.col(key).alias("id"))))
 
+    def _stage(self, collection: str, rows: DataFrame) -> None:
+        """Every so many commands the staged rows are written, so that plans stay short however long a transaction is."""
+        self._depth[collection] = self._depth.get(collection, 0) + 1
+        if self._depth[collection] % STAGED_PLANS == 0:
+            folder = f"{self.store.root}/_staged/{uuid.uuid4().hex}"
+            rows.write.parquet(folder)
+            self._folders.append(folder)
+            rows = self.spark.read.schema(rows.schema).parquet(folder)
+        self.staged[collection] = rows
+
+    def _clean(self) -> None:
+        for folder in self._folders:
+            self.store.files.delete(folder)
+        self._folders.clear()
+
     @staticmethod
     def _merge_extra():
         both = F.map_concat(F.map_filter(_as_map("old"), lambda k, _: ~F.coalesce(F.map_contains_key(_as_map("new"), k), F.lit(False))), _as_map("new"))
@@ -342,7 +363,7 @@ class Transaction:
                     if child == collection:
                         hit = hit.join(gone.select(F.col("id").alias("_g")), F.col(cs.primary_key) == F.col("_g"), "left_anti")
                     self._delete(child, hit, seen)
-        self.staged[collection] = self._rows(collection).join(gone.select(F.col("id").alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+        self._stage(collection, self._rows(collection).join(gone.select(F.col("id").alias("_k")), F.col(key) == F.col("_k"), "left_anti"))
         self.touched.setdefault(collection, []).append(("delete", gone))
 
     # end
@@ -379,6 +400,7 @@ class Transaction:
                 raise Validation(f"{name} {bad[0]['id']}: {bad[0]['rule']} is violated by {bad[0]['value']}")
         keys = {n: [f for i in self.db.schema(n).indexes.values() if not i.primary for f in i.fields[:1] if "." not in f][:2] + [self.db.schema(n).primary_key] for n in self.staged}
         self.store.commit(self.base, self.staged, keys, self._changes())
+        self._clean()
 
     def _changes(self) -> DataFrame:
         """The change records of this transaction: one for each document, after against before."""
@@ -406,6 +428,7 @@ class Transaction:
         self.open = False
         self.staged.clear()
         self.touched.clear()
+        self._clean()
 
     # history
 
