@@ -142,6 +142,8 @@ class Transaction:
         self.staged: dict[str, DataFrame] = {}
         self.touched: dict[str, list[tuple[str, DataFrame]]] = {}  # collection: (action, ids), in order
         self.open = True
+        self.pending: dict[str, dict[Any, tuple[tuple, Document]]] = {}  # single documents, not yet part of a frame
+        self._order: dict[str, list[tuple[Any, str, int]]] = {}
         self._depth: dict[str, int] = {}
         self._folders: list[str] = []
 
@@ -159,10 +161,42 @@ class Transaction:
         return df
 
     def _rows(self, collection: str) -> DataFrame:
+        self._flush(collection)
+        return self._frame(collection)
+
+    def _frame(self, collection: str) -> DataFrame:
         if collection in self.staged:
             return self.staged[collection]
         return self.store.frame(collection, self.db.schema(collection).struct(), self.base)
 
+    def _is_new(self, collection: str) -> bool:
+        return collection not in self.staged and collection not in self.store.manifest(self.base)
+
+    def _flush(self, collection: str) -> None:
+        """Single documents become one frame, joined once."""
+        held = self.pending.pop(collection, None)
+        if not held:
+            return
+        s = self.db.schema(collection)
+        key, schema = s.primary_key, s.struct()
+        rows = self.spark.createDataFrame([row for row, _ in held.values()], schema)
+        if not self._is_new(collection):
+            current = self._frame(collection)
+            rows = current.join(rows.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").unionByName(rows)
+        self._stage(collection, rows)
+        kind = schema[key].dataType.simpleString()
+        self.touched.setdefault(collection, []).append(("", self.spark.createDataFrame(self._order.pop(collection), f"id {kind}, action string, seq int")))
+
+    def _current(self, collection: str, id_: Any) -> Document | None:
+        """The stored or staged document, without computed fields: from memory where it is there."""
+        if id_ in self.pending.get(collection, {}):
+            return self.pending[collection][id_][1].clone()
+        if self._is_new(collection):
+            return None
+        key = self.db.schema(collection).primary_key
+        rows = _documents(self._frame(collection).where(F.col(key) == F.lit(id_)).limit(1))
+        return rows[0] if rows else None
+
     def _computed(self, expr: str):
         """A computed field: a registered Python function of no arguments that gives a Column, the clock, or a Spark SQL expression."""
         if expr in self.db.functions:
@@ -230,30 +264,64 @@ class Transaction:
     def update(self, collection: str, id_: Any, values: dict[str, Any]) -> Document:
         key = self.db.schema(collection).primary_key
         self._one("update", collection, Document({}).set_all({**values, key: id_}))
-        return self.get_unchecked(collection, id_)
+        return self._current(collection, id_)
 
     def delete(self, collection: str, id_: Any) -> None:
         self._one("delete", collection, {self.db.schema(collection).primary_key: id_})
 
-    def get_unchecked(self, collection: str, id_: Any) -> Document:
-        return _documents(self._find(collection, [id_]).limit(1))[0]
-
     def _one(self, action: str, collection: str, doc: Document | dict) -> Any:
         s = self.db.schema(collection)
         doc = Document(doc)
         if action == "create" and doc.get(s.primary_key) in (None, ""):
             doc.set(s.primary_key, new_id())
-        before = None
-        if s.triggers or s.rules:
-            rows = _documents(self._find(collection, [doc.get(s.primary_key)]).limit(1))
-            before = rows[0] if rows else None
+        id_ = doc.get(s.primary_key)
+        if id_ is None:
+            raise Validation(f"{collection}: {s.primary_key} is required")
+        before = self._current(collection, id_)
         event = f"on{action.capitalize()}"
         names = {"doc": doc, "before": before, "tx": self, "db": self.db, "meta": self.context.metadata, "ctx": self.context, "schema": s, "query": None}
         for t in s.triggers:
             if event in t.events:
                 scripts.run(self.db.functions.get(t.script.strip(), t.script), names, self.db.library)
-        self._write(action, collection, self._encode(s, [doc], partial=action in ("update", "delete")), {"doc": doc})
-        return doc.get(s.primary_key)
+        self._may(action, collection, {"doc": doc})
+        if action == "delete":
+            self._rows(collection)
+            self._delete(collection, self.spark.createDataFrame([(id_,)], f"{s.primary_key} {s.struct()[s.primary_key].dataType.simpleString()}"), set())
+            return id_
+        if action == "create" and before is not None and not self.db.compat:
+            raise Validation(f"{collection}: a document with this id exists")
+        if action == "update":
+            if before is None:
+                raise NotFound(f"{collection} {id_} not found")
+            doc = before.clone().merge(doc)
+        for p in s.all_properties():
+            if p.compute and p.compute.write:
+                doc.set(p.path, self.spark.range(1).select(self._computed(p.compute.expr)).first()[0])
+            if p.has_default and action != "update" and not doc.exists(p.path):
+                doc.set(p.path, p.default)
+            if p.immutable and before is not None and before.exists(p.path):
+                doc.set(p.path, before.get(p.path))
+        row = _row(s.struct(), doc.value, "")
+        if bad := s.document_errors(doc):
+            raise Validation(f"{collection} {id_}: " + "; ".join(bad))
+        self.pending.setdefault(collection, {})[id_] = (row, doc)
+        order = self._order.setdefault(collection, [])
+        order.append((id_, action, len(order)))
+        return id_
+
+    def _may(self, action: str, collection: str, names: dict) -> None:
+        s = self.db.schema(collection)
+        if not self.open:
+            raise Forbidden("the transaction has ended")
+        if self.read_only:
+            raise Forbidden("the transaction is read-only")
+        if s.read_only and not self.context.internal:
+            raise Forbidden(f"collection {collection} is read-only")
+        if s.immutable and action in ("update", "delete", "set") and not self.context.internal:
+            raise Forbidden(f"collection {collection} is immutable")
+        if s.prevent_deletes and action == "delete":
+            raise Forbidden(f"documents of {collection} can't be deleted")
+        self._authorized(action, collection, names)
 
     def create_all(self, collection: str, rows: DataFrame) -> None:
         """Whole frames: columns are the collection's, missing ones are null."""
@@ -274,22 +342,9 @@ class Transaction:
         have = set(rows.columns)
         return rows.select(*[(F.col(f"`{f.name}`").cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
-    def _encode(self, s: CollectionSchema, items: list[Document], partial: bool) -> DataFrame:
-        return self.spark.createDataFrame([_row(s.struct(), d.value, "") for d in items], s.struct())
-
     def _write(self, action: str, collection: str, rows: DataFrame, names: dict) -> None:
         s = self.db.schema(collection)
-        if not self.open:
-            raise Forbidden("the transaction has ended")
-        if self.read_only:
-            raise Forbidden("the transaction is read-only")
-        if s.read_only and not self.context.internal:
-            raise Forbidden(f"collection {collection} is read-only")
-        if s.immutable and action in ("update", "delete", "set") and not self.context.internal:
-            raise Forbidden(f"collection {collection} is immutable")
-        if s.prevent_deletes and action == "delete":
-            raise Forbidden(f"documents of {collection} can't be deleted")
-        self._authorized(action, collection, names)
+        self._may(action, collection, names)
         key, schema, current = s.primary_key, s.struct(), self._rows(collection)
         rows = rows.dropDuplicates([key])
         if action == "delete":
@@ -387,6 +442,8 @@ class Transaction:
     def commit(self) -> None:
         if not self.open:
             return
+        for collection in list(self.pending):
+            self._flush(collection)
         self.open = False
         if not self.touched:
             return
@@ -411,7 +468,7 @@ class Transaction:
             schema, key = s.struct(), s.primary_key
             ids = None
             for order, (action, frame) in enumerate(steps):
-                one = frame.select("id", F.lit(action).alias("action"), F.lit(order).alias("o"))
+                one = frame.select("id", F.lit(action).alias("action"), F.lit(float(order)).alias("o")) if action else frame.select("id", "action", (F.lit(order) + F.col("seq") / 1e9).alias("o"))
                 ids = one if ids is None else ids.unionByName(one)
             ids = ids.groupBy("id").agg(F.max_by("action", "o").alias("last"), F.min_by("action", "o").alias("first"))
             wrap = lambda df, name: df.select(F.col(key).alias(f"{name}_k"), F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]).alias(name))  # noqa: E731, B023
@@ -428,6 +485,7 @@ class Transaction:
         self.open = False
         self.staged.clear()
         self.touched.clear()
+        self.pending.clear()
         self._clean()
 
     # history
@@ -469,7 +527,7 @@ class Transaction:
             if not name:
                 raise Validation(f"{kind}: collection is required")
             if kind in ("create", "set"):
-                return {kind: self.get_unchecked(name, getattr(self, kind)(name, c["document"])).value}
+                return {kind: self._current(name, getattr(self, kind)(name, c["document"])).value}
             if kind == "update":
                 return {kind: self.update(name, c["id"], c.get("update") or {}).value}
             if kind == "delete":

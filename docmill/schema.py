@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -136,6 +137,17 @@ class CollectionSchema:
                 found.append(F.when(F.coalesce(F.length(paths.raw_text(at)) > 2, F.lit(False)), F.lit("additional properties are not allowed")))
         return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
+    def document_errors(self, doc) -> list[str]:
+        """The same rules for one document (docmill.operators.documents.Document) on the driver."""
+        found = []
+        for p in self.all_properties():
+            v = doc.get(p.path)
+            found += [f"{p.path}: {rule} {json.dumps(value)}" for rule, value in p.rules if v is not None and _broken(v, rule, value)]
+        found += [f"{name} is required" for name in self.required if doc.get(name) is None]
+        if self.closed and set(doc.value) - {p.name for p in self.properties}:
+            found.append("additional properties are not allowed")
+        return found
+
     def to_yaml(self) -> str:
         return yaml.safe_dump(self.raw, sort_keys=False)
 
@@ -161,6 +173,18 @@ def _violation(at, rule: str, value) -> Column | None:
     }.get(rule, lambda: None)()
 
 
+def _broken(v: Any, rule: str, value: Any) -> bool:
+    try:
+        return bool({
+            "enum": lambda: v not in value, "const": lambda: v != value, "minimum": lambda: v < value, "maximum": lambda: v > value,
+            "exclusiveMinimum": lambda: v <= value, "exclusiveMaximum": lambda: v >= value, "multipleOf": lambda: v % value != 0,
+            "minLength": lambda: len(v) < value, "maxLength": lambda: len(v) > value, "pattern": lambda: re.search(value, v) is None,
+            "minItems": lambda: len(v) < value, "maxItems": lambda: len(v) > value, "uniqueItems": lambda: value and len({json.dumps(x) for x in v}) < len(v),
+        }[rule]())
+    except TypeError:  # a value of another type: its type is reported instead
+        return False
+
+
 _RULES = ("enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "minItems", "maxItems", "uniqueItems")
 _OLD_EVENTS = {"on_create": "onCreate", "on_update": "onUpdate", "on_set": "onSet", "on_delete": "onDelete"}
 
