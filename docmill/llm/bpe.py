@@ -15,6 +15,7 @@ by ``encode``/``decode`` (a column that already has the output's name is replace
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 
@@ -66,10 +67,11 @@ class Codec:
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {as_bytes(k): v for k, v in spec["model"]["vocab"].items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {}
+        self.rank = {}  # (left << 17 | right): (rank << 17 | merged), so that values order by rank
         for r, (a, b) in enumerate(pairs):
             a, b = as_bytes(a), as_bytes(b)
-            self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
+            self.rank[self.ids[a] << 17 | self.ids[b]] = r << 17 | self.ids[a + b]
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*self.ids.values(), *self.special.values()]) + 1
         table: list[bytes] = [b""] * size
@@ -118,40 +120,38 @@ class Codec:
 
     def merge_exactly(self, word: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, leftmost first, until none is left. O(n log n)."""
-        ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        ids = [self.byte_ids[b] for b in word]
         if len(ids) > 64:
             return self._merge_long(ids)
-        rank, none = self.rank.get, (1 << 30, 0)
-        ranks = [rank(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks))[0] < none[0]:
+        rank, none = self.rank.get, 1 << 60
+        ranks = [rank(a << 17 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
+            ids[i : i + 2] = (new := best & 0x1FFFF,)
             del ranks[i]
             if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = rank(ids[i - 1] << 17 | new, none)
             if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), none)
+                ranks[i] = rank(new << 17 | ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        import heapq
-
         n = len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := self.rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.rank.get(ids[i] << 17 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = r & 0x1FFFF, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := self.rank.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
+                if x >= 0 and y >= 0 and (r := self.rank.get(ids[x] << 17 | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [t for t in ids if t >= 0]
 
     def compatible(self, keys: np.ndarray) -> np.ndarray:
