@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 from docmill.llm import _base
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    """(c, m): each node's least neighbour. Written, so that the join that follows is of plain tables: Spark then splits the
+    edges of a hub among tasks, which it does not do for a side that is still being aggregated."""
+    return _base.settle(rows.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "cc-least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    least = _least(both).withColumn("m", F.least("c", "m"))
     return both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-    joined = edges.join(least, F.col("u") == F.col("c"))
+    joined = edges.join(_least(edges), F.col("u") == F.col("c"))
     return joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -35,4 +40,4 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         if now == seen or now[0] == 0:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-        state = _base.settle(_small_star(_large_star(state)), label)
+        state = _base.settle(_small_star(_base.settle(_large_star(state), label)), label)
