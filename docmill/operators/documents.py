@@ -263,3 +263,20 @@ def state_at(current: DataFrame, log: DataFrame, key: str, timestamp: int) -> Da
     # a document whose first later change is its creation, or that had nothing before, was not there
     there = F.col("_first").isNull() | ~((F.col("_first.action") == "create") | ((F.col("_first.action") == "set") & (F.col("_first.had") == 0)))
     return joined.where(there).select(*rebuild(schema, leaf))
+
+
+class Documents(list):
+    """A list of documents on the driver. For frames: offset and limit, where, select or mapInPandas, foreach."""
+
+    def slice(self, start: int, end: int) -> Documents:
+        return Documents(self[max(0, start) : max(0, end)])
+
+    def filter(self, keep) -> Documents:
+        return Documents(d for i, d in enumerate(self) if keep(d, i))
+
+    def map(self, change) -> Documents:
+        return Documents(change(d, i) for i, d in enumerate(self))
+
+    def for_each(self, do) -> None:
+        for i, d in enumerate(self):
+            do(d, i)
