@@ -158,7 +158,7 @@ class FingerprintIndex:
 
     def repeating(self) -> DataFrame:
         """(_id, _th, fp) of the entries whose fingerprint occurs at two places at least, in any runs."""
-        totals = self.entries().groupBy("fp").agg(F.sum("places").alias("_n")).where("_n > 1").select("fp")
+        totals = _base.settle(self.entries().groupBy("fp").agg(F.sum("places").alias("_n")).where("_n > 1").select("fp"), "totals")  # a plain table, so that a common fingerprint's entries can be split
         return self.entries().select("_id", "_th", "fp").join(totals.hint("merge"), "fp")
 
 
@@ -166,6 +166,7 @@ def _copies(keyed: DataFrame) -> DataFrame:
     """(_id, _th, _stands) of the texts that are there more than once; one id of each text stands for all."""
     keys = keyed.select("_id", "_th", F.xxhash64(F.lit(7), "_text").alias("_t2"))
     several = keys.groupBy("_th", "_t2").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).where("_n > 1").drop("_n")
+    several = _base.settle(several, "several")
     members = keys.join(several.hint("merge"), ["_th", "_t2"]).select("_id", "_th", F.col("_id").eqNullSafe(F.col("_first")).alias("_stands"))
     return _base.settle(members.distinct(), "copies")
 
