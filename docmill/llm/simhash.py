@@ -161,142 +161,208 @@ def label(printed: DataFrame, id_col: str = "doc_id", max_bits: int = MAX_BITS)
     return printed.join(by_print, F.col("fp") == F.col("f")).drop("f")
 
 
-WIDE_BYTES = 32
-PLACES = 3
-CHOICES = 72
-NEIGHBOURS = 3
-BLOCK = 512
-#: Fingerprints further apart than this are not looked at: texts of similarity 0.8 are some 7 bits apart, others some 30.
-FAR_BITS = 20
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
+#: Keys of two least hashes each that nominate pairs for the first, cheap round; the second round is complete whatever these find.
+LEAD_KEYS = 8
+#: The order of shingles comes from so many texts or a few more; at most COMMON of those in COMMON_IN of them are sent to the workers. Any order gives the same pairs.
+SAMPLE, COMMON_IN, COMMON = 16_000, 3, 200_000
+#: Longer posting lists are dealt as pairs of blocks of about so many members.
+LONG = 1024
+_SLACK = 1e-6
 
 
-def _choices() -> np.ndarray:
-    """CHOICES different sets of PLACES byte positions, always the same."""
-    random, out = np.random.RandomState(3), {}
-    while len(out) < CHOICES:
-        out[tuple(sorted(random.choice(WIDE_BYTES, PLACES, replace=False).tolist()))] = True
-    return np.array(list(out), np.int64)
+def _shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Each text's set of shingle hashes, sorted."""
+    hashes, counts = _shingle_hashes(texts, shingle)
+    return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
 
 
-def wide_fingerprints(docs: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """docs without the text, with fp and a fingerprint of 32 bytes from four independent mixtures of the same shingle hashes; fp is the first of them."""
-    kept = [c for c in docs.columns if c not in (text_col, "fp", "wide")]
+def prints_and_sets(docs: DataFrame, text_col: str, shingle: int, set_shingle: int) -> DataFrame:
+    """docs without the text, with fp and s, the bytes of the sorted set of set_shingle-word hashes."""
+    kept = [c for c in docs.columns if c not in (text_col, "fp", "s")]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _base.chunks(batches, text_col):
-            hashes, counts = _shingle_hashes(_base.texts_bytes(batch.column(batch.schema.get_field_index(text_col))), shingle)
-            words = [_majority(hashes if k == 0 else _base.mix64(hashes + np.uint64(k)), counts) for k in range(WIDE_BYTES // 8)]
-            wide = np.ascontiguousarray(np.column_stack(words))
-            packed = pa.Array.from_buffers(pa.binary(8 * wide.shape[1]), len(wide), [None, pa.py_buffer(wide)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(_base.as_signed(words[0])), packed], [*kept, "fp", "wide"])
-
-    return docs.select(*kept, text_col).mapInArrow(run, f"{types}, fp bigint, wide binary")
-
-
-def _nearest_in_list(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each member's nearest others of a posting list, within blocks that also share a member with the next: linear in the list."""
-    us, vs = [], []
-    for at in range(0, len(prints), BLOCK):
-        block = prints[max(0, at - 1) : at + BLOCK]
-        apart = np.bitwise_count(block[:, None] ^ block[None, :]).astype(np.int16)
-        np.fill_diagonal(apart, 99)
-        k = min(NEIGHBOURS, len(block) - 1)
-        if k < 1:
-            continue
-        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-        i = np.repeat(np.arange(len(block)), k)
-        j = near.ravel()
-        close = apart[i, j] <= FAR_BITS
-        us.append(block[i[close]])
-        vs.append(block[j[close]])
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """(u, v), u > v: fingerprints of texts that share the bytes at PLACES positions in one of the CHOICES and are near each other there.
-
-    reps: (fp, wide), one row for each fp."""
-    places = _choices()
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                if not part.num_rows:
-                    continue
-                wide = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE_BYTES).astype(np.int64)
-                keys = np.broadcast_to(np.arange(CHOICES, dtype=np.int64), (len(wide), CHOICES)).copy()
-                for p in range(PLACES):
-                    keys = (keys << 8) | wide[:, places[:, p]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), CHOICES))], ["key", "fp"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs = [], []
-            for members in batch.column(0):
-                u, v = _nearest_in_list(np.sort(members.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-                us.append(u)
-                vs.append(v)
-            if us:
-                u, v = (np.concatenate(x).view(np.int64) for x in (us, vs))
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+            texts = _base.texts_bytes(batch.column(batch.schema.get_field_index(text_col)))
+            sets = pa.array([x.tobytes() for x in _shingle_sets(texts, set_shingle)], pa.binary())
+            prints = pa.array(_base.as_signed(fingerprints_of(texts, shingle)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), prints, sets], [*kept, "fp", "s"])
 
-    lists = reps.select("fp", "wide").select("fp", "wide").mapInArrow(post, "key bigint, fp bigint").groupBy("key").agg(F.collect_list("fp").alias("m")).where(F.size("m") > 1)
-    return lists.select("m").mapInArrow(link, "u bigint, v bigint").distinct()
+    return docs.select(*kept, text_col).mapInArrow(run, f"{types}, fp bigint, s binary")
 
 
-def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    words = text.translate(_base.LOWER).split()
-    digest = xxhash.xxh32_intdigest
-    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((digest(p) for p in parts), np.uint32)) if words else np.zeros(0, np.uint32)
+def _nominated(printed: DataFrame) -> DataFrame:
+    """(u, v): hashes of texts that share a key of two least hashes, each with the first and the last text of the key: linear in the texts."""
+    odd = [np.uint64(x) for x in np.random.RandomState(4).randint(1, 2**62, 2 * LEAD_KEYS) * 2 + 1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            some = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
+            if not len(some):
+                continue
+            all_, begins = np.concatenate([sets[i] for i in some]), np.cumsum([0, *(len(sets[i]) for i in some)])[:-1]
+            least = [np.minimum.reduceat(all_ * m, begins) for m in odd]
+            keys = np.column_stack([_base.mix64(_base.mix64(least[2 * k]) + least[2 * k + 1] + np.uint64(k)) for k in range(LEAD_KEYS)])
+            at = pa.array(np.repeat(some, LEAD_KEYS))
+            yield pa.RecordBatch.from_arrays([pa.array(_base.as_signed(keys.ravel())), batch.column(0).take(at), batch.column(1).take(at)], ["key", "h", "fp"])
+
+    keyed = _base.settle(printed.select(F.col("k.h").alias("h"), "fp", "s").mapInArrow(run, "key bigint, h bigint, fp bigint").distinct(), "simhash-nominated")
+    one = F.struct("h", "fp")
+    ends = _base.settle(keyed.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a.h < b.h"), "simhash-ends")
+    pairs = keyed.join(ends, "key").select("h", "fp", F.explode(F.array("a", "b")).alias("e")).where("h != e.h and fp != e.fp")
+    return pairs.select(F.greatest("h", "e.h").alias("u"), F.least("h", "e.h").alias("v")).distinct()
+
+
+def _common(printed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts have, and how common each is, from some of the texts."""
+    every = max(1, printed.count() // SAMPLE)
 
-def similar(docs: DataFrame, edges: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The edges (u, v) whose texts' sets of shingles have at least that Jaccard similarity. reps: (fp, k) with k.i the id and k.h the text hash of a fingerprint's text."""
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(reps.select("fp", F.col("k.i").alias("_ki"), F.col("k.h").alias("_kh")), "fp")
-    text = _base.text_or_empty(text_col)
-    texts = docs.select(F.col(id_col).alias("_i"), F.xxhash64(text).alias("_h"), text.alias("_text"))
-    texts = texts.join(nodes, F.col("_i").eqNullSafe(F.col("_ki")) & (F.col("_h") == F.col("_kh"))).select("_text", "fp")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _base.chunks(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([_shingle_set(t, shingle).tobytes() for t in _base.texts_bytes(batch.column(0))], pa.binary())], ["fp", "s"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, np.int64))], ["t"])
+
+    counted = printed.where(F.pmod("k.h", F.lit(every)) == 0).select("s").mapInArrow(run, "t bigint").groupBy("t").count().where(F.col("count") >= COMMON_IN)
+    found = counted.orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
+    hashes = found.column("t").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.log2(found.column("count").to_numpy()[order] + 1e-9).astype(np.int64) + 1
+
+
+def _prefix(shingles: np.ndarray, common: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the one order of all, rare ones first: two sets of that similarity share one of them."""
+    if not len(shingles):
+        return shingles
+    rank = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, level[at], 0)
+    most = len(shingles) - int(np.ceil(similarity * len(shingles) - _SLACK)) + 1
+    return shingles[np.lexsort((shingles, rank))[:most]]
+
+
+def _parities(shingles: np.ndarray) -> bytes:
+    """512 bits, each the parity of how many shingles fall on it: two sets differ in at least as many shingles as these bits do."""
+    return np.packbits((np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+
+
+def _possible(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of members of two blocks of a list that can reach the similarity if this is the first shingle they share, and are not grouped yet.
+    Pairs whose parities differ in more bits than such sets may differ in shingles are left out as well.
+
+    What is left of each set from its place of the shingle on is as much as they can have in common, and
+    similarity / (1 + similarity) of both sizes is what they need. A pair that has the similarity passes in the list of its first common shingle."""
+    share, out = similarity / (1 + similarity), []
+    for at in range(0, len(x["h"]), 256):
+        part = {k: v[at : at + 256, None] for k, v in x.items() if k != "parities"}
+        need = share * (part["n"] + y["n"]) - _SLACK
+        good = (part["label"] != y["label"]) & (part["n"] - part["place"] >= need) & (y["n"] - y["place"] >= need)
+        if same:
+            good &= part["h"] < y["h"]
+        i, j = np.nonzero(good)
+        i += at
+        differ = np.bitwise_count(x["parities"][i] ^ y["parities"][j]).sum(axis=1)
+        can = differ <= (1 - share * 2) * (x["n"][i] + y["n"][j]) + _SLACK
+        out.append((i[can], j[can]))
+    i, j = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    return i, j
+
+
+def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+
+def candidates(printed: DataFrame, labels: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v), u > v: hashes of all texts of different labels whose sets can have the similarity. labels: (fp, label).
+
+    Every text is posted under the prefix of its set; every pair of every list is looked at, in blocks where a list is long."""
+    common, level = _common(printed)
+    sent = printed.sparkSession.sparkContext.broadcast((common, level))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, level = sent.value
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            first = pa.array([_prefix(x, common, level, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array([_parities(x) for x in sets]), first], ["h", "fp", "n", "parities", "p"])
 
-    shingles = _base.settle(texts.mapInArrow(sets, "fp bigint, s binary").dropDuplicates(["fp"]), "simhash-sets")
-    pairs = edges.join(shingles.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(shingles.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs, held = [], [], 0
+            for a, b, members in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                m = {k: members.values.field(k).to_numpy().astype(np.int64) for k in ("h", "label", "n", "place", "block")}
+                m["parities"] = np.frombuffer(b"".join(members.values.field("parities").to_pylist()), np.uint64).reshape(-1, 8)
+                x = {k: v[m["block"] == a] for k, v in m.items()}
+                y = x if a == b else {k: v[m["block"] == b] for k, v in m.items()}
+                i, j = _possible(x, y, a == b, similarity)
+                us.append(x["h"][i])
+                vs.append(y["h"][j])
+                held += len(i)
+                if held > 500_000:
+                    yield _pairs(us, vs)
+                    us, vs, held = [], [], 0
+            if held:
+                yield _pairs(us, vs)
+
+    cuts = _base.settle(printed.select(F.col("k.h").alias("h"), "fp", "s").mapInArrow(cut, "h bigint, fp bigint, n int, parities binary, p array<bigint>"), "simhash-prefixes")
+    posted = cuts.join(labels, "fp").select("h", "n", "label", "parities", F.posexplode("p").alias("place", "t"))
+    # lists of several labels only: what is grouped already needs no pair
+    lists = posted.groupBy("t").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    lists = _base.settle(lists.select("t", F.ceil(F.col("c") / LONG).cast("int").alias("blocks")), "simhash-lists")
+    dealt = posted.join(lists, "t").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = F.struct("h", "label", "n", "place", "block", "parities")
+    blocks = dealt.groupBy("t", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).agg(F.collect_set(member).alias("m"))
+    return blocks.where(F.size("m") > 1).select("a", "b", "m").mapInArrow(link, "u bigint, v bigint").distinct()
+
+
+def similar(printed: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (u, v) of fingerprints, u > v, from the pairs of text hashes whose sets have at least that Jaccard similarity."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    sets = printed.select(F.col("k.h").alias("h"), "fp", "s").join(nodes, "h", "left_semi").dropDuplicates(["h"])
+    sets = _base.settle(sets, "simhash-sets")
+    a = sets.select(F.col("h").alias("u"), F.col("fp").alias("fu"), F.col("s").alias("a"))
+    b = sets.select(F.col("h").alias("v"), F.col("fp").alias("fv"), F.col("s").alias("b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good[i] = both >= similarity * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(good))
+
+    joined = pairs.join(a, "u").join(b, "v").select("fu", "fv", "a", "b")
+    return joined.mapInArrow(verify, "x bigint, y bigint").where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+
 
-    return pairs.mapInArrow(verify, "u bigint, v bigint")
+def _roots(reps: DataFrame, edges: DataFrame) -> DataFrame:
+    """reps with the root of each fingerprint's component."""
+    roots = components.components(edges, "simhash-cc").select(F.col("node").alias("fp"), "root")
+    return reps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each group: that of the smallest id, and of rows with that id one of the smallest text hash and text.
 
-    Texts group if their fingerprints are within max_bits, or if they are candidates and the Jaccard similarity of their sets of
-    five-word shingles is at least `similarity`. Candidates come from the same kind of index over a wider fingerprint; a pair of
-    similarity 0.8 shares one of its posting lists with probability 0.99 or so. Ids and hashes decide what goes before the kept texts move."""
+    Texts group if their fingerprints are within max_bits, or if the Jaccard similarity of their sets of five-word shingles is at
+    least `similarity`; all such pairs count. A first round groups what a few least hashes nominate; the second looks at every pair
+    of texts, still in different groups, that shares a shingle of both prefixes. Ids and hashes decide what goes before the kept texts move."""
     key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(_base.text_or_empty(text_col)).alias("h"))
-    printed = _base.settle(wide_fingerprints(docs.select(text_col, key.alias("k")), text_col, shingle), "simhash-prints")
-    reps = _base.settle(printed.groupBy("fp").agg(F.min("k").alias("k"), F.min_by("wide", "k").alias("wide")), "simhash-reps")
+    printed = _base.settle(prints_and_sets(docs.select(text_col, key.alias("k")), text_col, shingle, SIMILAR_SHINGLE), "simhash-prints")
+    reps = _base.settle(printed.groupBy("fp").agg(F.min("k").alias("k")), "simhash-reps")
     near = links(reps.select("fp"), "fp", max_bits)
-    found = _base.settle(candidates(reps), "simhash-candidates")
-    edges = near.unionByName(similar(docs, found, reps, id_col, text_col, similarity=similarity))
-    roots = components.components(edges, "simhash-cc")
-    rooted = reps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    first = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.i").alias("_ki"), F.col("k.h").alias("_kh"))
+    first_found = _base.settle(_nominated(printed), "simhash-first")
+    edges = _base.settle(near.unionByName(similar(printed, first_found, similarity)), "simhash-edges")
+    labels = _base.settle(_roots(reps, edges).select("fp", F.col("root").alias("label")), "simhash-labels")
+    found = _base.settle(candidates(printed, labels, similarity), "simhash-candidates")
+    rooted = _roots(reps, edges.unionByName(similar(printed, found, similarity)))
+    first = rooted.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.i").alias("_ki"), F.col("k.h").alias("_kh"))
     whole = docs.withColumn("_h", F.xxhash64(_base.text_or_empty(text_col)))
     kept = whole.join(first, F.col(id_col).eqNullSafe(F.col("_ki")) & (F.col("_h") == F.col("_kh")), "left_semi")
     several = _base.settle(printed.groupBy("k.i", "k.h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("i").alias("_ri"), F.col("h").alias("_rh")), "simhash-repeated")

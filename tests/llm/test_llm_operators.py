@@ -269,6 +269,55 @@ def test_simhash(spark, docs):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def five_word_sets(texts):
+    out = []
+    for t in texts:
+        w = words_of(t, True)
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} if w else set())
+    return out
+
+
+def smallest_of_groups(rows, similarity=0.8):
+    """The ids keep_one has to keep, by looking at every pair of rows with distinct ids."""
+    sets, prints = five_word_sets([r[1] for r in rows]), [int(p) for p in simhash.fingerprints_of([r[1].encode() for r in rows])]
+    edges = []
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if (prints[i] ^ prints[j]).bit_count() <= 2 or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+            edges.append((j, i))
+    root = groups(edges, range(len(rows)))
+    least = {}
+    for n, r in enumerate(rows):
+        least[root[n]] = min(r[0], least.get(root[n], r[0]))
+    return sorted(least.values())
+
+
+def with_edits(words, r, blocks, name):
+    """words with `blocks` stretches of five replaced, each of which costs up to nine shingles."""
+    out = list(words)
+    for b in r.choice(len(words) // 12, blocks, replace=False):
+        at = int(b) * 12
+        out[at : at + 5] = [f"{name}{b}x{k}" for k in range(5)]
+    return out
+
+
+def template_family(members, r):
+    """Texts of one template, similar to each other below 0.8, each with a partner at 0.8 or a little more."""
+    base = [f"t{i}" for i in range(600)]
+    rows = []
+    for i in range(members):
+        own = with_edits(base, r, 5, f"m{i}v")
+        partner = with_edits(own, r, 7, f"p{i}v")
+        rows += [(1 + i, " ".join(own), "en", "f", 1), (10_000 + i, " ".join(partner), "en", "f", 1)]
+    return rows
+
+
+def test_keep_one_finds_partners_inside_a_template_family(spark):
+    rows = template_family(150, np.random.RandomState(8))
+    got = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == smallest_of_groups(rows)
+
+
 def test_long_posting_lists_link_like_short_ones():
     r = np.random.RandomState(2)
     prints = np.unique((r.randint(0, 1 << 16, 700).astype(np.uint64) << np.uint64(8)) | np.uint64(5))
