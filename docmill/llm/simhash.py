@@ -309,14 +309,19 @@ def candidates(printed: DataFrame, labels: DataFrame, similarity: float = SIMILA
                 yield _pairs(us, vs)
 
     cuts = _base.settle(printed.select(F.col("k.h").alias("h"), "fp", "s").mapInArrow(cut, "h bigint, fp bigint, n int, parities binary, p array<bigint>"), "simhash-prefixes")
-    posted = cuts.join(labels, "fp").select("h", "n", "label", "parities", F.posexplode("p").alias("place", "t"))
+    about = cuts.join(labels, "fp")
     # lists of several labels only: what is grouped already needs no pair
-    lists = posted.groupBy("t").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    lists = _base.settle(lists.select("t", F.ceil(F.col("c") / LONG).cast("int").alias("blocks")), "simhash-lists")
-    dealt = posted.join(lists, "t").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    lists = about.select("label", F.explode("p").alias("t")).groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    lists = _base.settle(lists.where("lo < hi").select("t"), "simhash-lists")
+    # the many postings go to their lists with no more than this; what the few that stay need comes after
+    posted = cuts.select("h", F.posexplode("p").alias("place", "t")).join(lists, "t", "left_semi").distinct()
+    posted = _base.settle(posted, "simhash-posted")
+    sizes = posted.groupBy("t").agg(F.ceil(F.count("*") / LONG).cast("int").alias("blocks"))
+    members = about.select("h", "n", "label", "parities").dropDuplicates(["h"])
+    dealt = posted.join(sizes, "t").join(members, "h").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = F.struct("h", "label", "n", "place", "block", "parities")
-    blocks = dealt.groupBy("t", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).agg(F.collect_set(member).alias("m"))
+    blocks = dealt.groupBy("t", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).agg(F.collect_list(member).alias("m"))
     return blocks.where(F.size("m") > 1).select("a", "b", "m").mapInArrow(link, "u bigint, v bigint").distinct()
 
 
