@@ -63,8 +63,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few longs that may be sent to all tasks.
+SENT_ROWS = 4_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, written before (see settle) and of a few longs a row, to be broadcast in a join if it has at most SENT_ROWS rows; else Spark shuffles."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
 def chunks(batches, text_field: str = "text", most: int = CHUNK_BYTES):

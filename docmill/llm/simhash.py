@@ -2,11 +2,12 @@
 
 Each document's shingles vote on a 64-bit fingerprint. Two fingerprints that differ in at most
 ``max_bits`` bits differ in at most that many of their 8 bytes, so they share at least
-``8 - max_bits`` bytes at the same positions: the guaranteed minimum of matches. Distinct fingerprints are posted under
-every choice of that many byte positions; for each posting list the bytes that two members share are tallied,
-pairs that reach the minimum are verified bit by bit, and only a spanning star of each list's verified links leaves it. A posting list has at most 256**max_bits distinct
-fingerprints (65,536 for two bits), whatever the input, because its members differ in the bytes
-left over; equal documents meet in one fingerprint before the index. Components follow from the stars.
+``8 - max_bits`` bytes at the same positions: the guaranteed minimum of matches. Then they share at least one less of the first
+seven positions, so distinct fingerprints are posted under every choice of that many of the seven (21 choices of five for two bits). For each
+posting list the bytes that two members share are tallied over all eight positions, pairs that reach the minimum are verified bit
+by bit, and only a spanning star of each list's verified links leaves it. A list's members differ in at most
+``max_bits + 1`` bytes, which bounds it whatever the input; a list of more than ``LONG_LIST`` members is split by one byte more, since partners share
+one more. Equal documents meet in one fingerprint before the index. Components follow from the stars.
 
 Cases: null and empty texts have fingerprint zero and link like any other; texts shorter than a
 shingle have one shingle, all their words; repeated rows share fingerprint and component; a null id
@@ -29,6 +30,8 @@ from docmill.llm import _base, components
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
+#: Longer posting lists fall apart by one byte more.
+LONG_LIST = 2048
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -86,30 +89,35 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shing
     return docs.select(*kept, text_col).mapInArrow(run, f"{types}{', ' if types else ''}{out} bigint")
 
 
-def _star(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For one posting list of distinct fingerprints: (member, least member linked to it through the list)."""
+def _tallied(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of members that share the least number of bytes and then differ in at most max_bits bits, in blocks of rows."""
+    out = []
+    for at in range(0, len(prints), 256):
+        both = prints[at : at + 256, None] ^ prints[None, at + 1 :]
+        shared = (both.view(np.uint8).reshape(*both.shape, 8) == 0).sum(axis=2, dtype=np.int8)
+        i, j = np.nonzero(shared >= 8 - max_bits)
+        good = (j >= i) & (np.bitwise_count(both[i, j]) <= max_bits)
+        out.append((i[good] + at, j[good] + at + 1))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _star(prints: np.ndarray, max_bits: int, taken: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For one posting list of distinct fingerprints, which share the bytes at the places `taken`: (member, least member
+    linked to it through the list). Partners share one byte more than these, so that a long list falls apart by the others."""
     prints = np.sort(prints)
     n = len(prints)
+    if n <= LONG_LIST:
+        a, b = _tallied(prints, max_bits)
+    else:
+        found = []
+        for place in set(range(8)) - set(taken):
+            byte = (prints >> np.uint64(8 * place)) & np.uint64(255)
+            order = np.argsort(byte, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(byte[order])) + 1):
+                i, j = _tallied(prints[part], max_bits)
+                found.append((part[i], part[j]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     label = np.arange(n)
-    if n <= 256:
-        a, b = np.triu_indices(n, 1)
-        both = prints[a] ^ prints[b]
-        shared = (both.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-        tallied = np.flatnonzero(shared >= 8 - max_bits)
-        linked = tallied[np.bitwise_count(both[tallied]) <= max_bits]
-        a, b = a[linked], b[linked]
-    else:  # look the few possible partners of each member up instead
-        free = np.bitwise_or.reduce(prints ^ prints[0])
-        bits = [np.uint64(1) << np.uint64(i) for i in range(64) if (int(free) >> i) & 1]
-        flips = [np.bitwise_or.reduce(np.array(c, np.uint64)) for k in range(1, max_bits + 1) for c in itertools.combinations(bits, k)]
-        pairs = []
-        for x in flips:
-            other = prints ^ x
-            at = np.searchsorted(prints, other)
-            at[at == n] = 0
-            hit = np.flatnonzero((prints[at] == other) & (at > np.arange(n)))
-            pairs.append((hit, at[hit]))
-        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (label[:0], label[:0])
     while True:  # least label over the links, until nothing changes
         before = label.copy()
         np.minimum.at(label, b, label[a])
@@ -122,18 +130,20 @@ def _star(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(distinct: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (u, v), u > v, that connect whatever distinct fingerprints are within max_bits of one another."""
-    same = 8 - max_bits
-    masks = [sum(0xFF << (8 * p) for p in c) for c in itertools.combinations(range(8), same)]
+    """Edges (u, v), u > v, that connect whatever distinct fingerprints are within max_bits (at most 4) of one another."""
+    if not 0 <= max_bits <= 4:
+        raise ValueError("max_bits must be 0 to 4")
+    choices = list(itertools.combinations(range(7), 7 - max_bits))
+    masks = [sum(0xFF << (8 * p) for p in c) for c in choices]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     posts = F.array(*[F.struct(F.lit(i).cast("byte").alias("place"), F.col(fp).bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])
-    postings = distinct.select(fp, F.explode(posts).alias("p")).groupBy("p.place", "p.key").agg(F.collect_list(fp).alias("members")).where(F.size("members") > 1).select("members")
+    postings = distinct.select(fp, F.explode(posts).alias("p")).groupBy("p.place", "p.key").agg(F.collect_list(fp).alias("members")).where(F.size("members") > 1).select("place", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            for members in batch.column(0):
-                u, v = _star(members.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), max_bits)
+            for place, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                u, v = _star(members.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), max_bits, choices[place])
                 us.append(u)
                 vs.append(v)
             if us:
@@ -165,10 +175,12 @@ SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
 #: Keys of two least hashes each that nominate pairs for the first, cheap round; the second round is complete whatever these find.
 LEAD_KEYS = 8
-#: The order of shingles comes from so many texts or a few more; at most COMMON of those in COMMON_IN of them are sent to the workers. Any order gives the same pairs.
-SAMPLE, COMMON_IN, COMMON = 16_000, 3, 200_000
+#: The order of shingles comes from about so many texts; at most COMMON of those in COMMON_IN of them are sent to the workers. Any order gives the same pairs.
+SAMPLE, COMMON_IN, COMMON = 8_000, 3, 200_000
 #: Longer posting lists are dealt as pairs of blocks of about so many members.
 LONG = 1024
+#: Parity bits of a set: a power of two of about four times its size, between these.
+LEAST_BITS, MOST_BITS = 256, 8192
 _SLACK = 1e-6
 
 
@@ -178,54 +190,16 @@ def _shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
 
 
-def prints_and_sets(docs: DataFrame, text_col: str, shingle: int, set_shingle: int) -> DataFrame:
-    """docs without the text, with fp and s, the bytes of the sorted set of set_shingle-word hashes."""
-    kept = [c for c in docs.columns if c not in (text_col, "fp", "s")]
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _base.chunks(batches, text_col):
-            texts = _base.texts_bytes(batch.column(batch.schema.get_field_index(text_col)))
-            sets = pa.array([x.tobytes() for x in _shingle_sets(texts, set_shingle)], pa.binary())
-            prints = pa.array(_base.as_signed(fingerprints_of(texts, shingle)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), prints, sets], [*kept, "fp", "s"])
-
-    return docs.select(*kept, text_col).mapInArrow(run, f"{types}, fp bigint, s binary")
-
-
-def _nominated(printed: DataFrame) -> DataFrame:
-    """(u, v): hashes of texts that share a key of two least hashes, each with the first and the last text of the key: linear in the texts."""
-    odd = [np.uint64(x) for x in np.random.RandomState(4).randint(1, 2**62, 2 * LEAD_KEYS) * 2 + 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            some = np.array([i for i, x in enumerate(sets) if len(x)], np.int64)
-            if not len(some):
-                continue
-            all_, begins = np.concatenate([sets[i] for i in some]), np.cumsum([0, *(len(sets[i]) for i in some)])[:-1]
-            least = [np.minimum.reduceat(all_ * m, begins) for m in odd]
-            keys = np.column_stack([_base.mix64(_base.mix64(least[2 * k]) + least[2 * k + 1] + np.uint64(k)) for k in range(LEAD_KEYS)])
-            at = pa.array(np.repeat(some, LEAD_KEYS))
-            yield pa.RecordBatch.from_arrays([pa.array(_base.as_signed(keys.ravel())), batch.column(0).take(at), batch.column(1).take(at)], ["key", "h", "fp"])
-
-    keyed = _base.settle(printed.select(F.col("k.h").alias("h"), "fp", "s").mapInArrow(run, "key bigint, h bigint, fp bigint").distinct(), "simhash-nominated")
-    one = F.struct("h", "fp")
-    ends = _base.settle(keyed.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a.h < b.h"), "simhash-ends")
-    pairs = keyed.join(ends, "key").select("h", "fp", F.explode(F.array("a", "b")).alias("e")).where("h != e.h and fp != e.fp")
-    return pairs.select(F.greatest("h", "e.h").alias("u"), F.least("h", "e.h").alias("v")).distinct()
-
-
-def _common(printed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that many texts have, and how common each is, from some of the texts."""
-    every = max(1, printed.count() // SAMPLE)
+    share = min(1.0, SAMPLE / max(1, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, np.int64))], ["t"])
+        for batch in _base.chunks(batches, text_col):
+            for s in _shingle_sets(_base.texts_bytes(batch.column(0)), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(_base.as_signed(s))], ["t"])
 
-    counted = printed.where(F.pmod("k.h", F.lit(every)) == 0).select("s").mapInArrow(run, "t bigint").groupBy("t").count().where(F.col("count") >= COMMON_IN)
+    counted = docs.where(F.rand(SEED) < share).select(text_col).mapInArrow(run, "t bigint").groupBy("t").count().where(F.col("count") >= COMMON_IN)
     found = counted.orderBy(F.desc("count"), "t").limit(COMMON).toArrow()
     hashes = found.column("t").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
@@ -245,91 +219,172 @@ def _prefix(shingles: np.ndarray, common: np.ndarray, level: np.ndarray, similar
 
 
 def _parities(shingles: np.ndarray) -> bytes:
-    """512 bits, each the parity of how many shingles fall on it: two sets differ in at least as many shingles as these bits do."""
-    return np.packbits((np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+    """Bits that each tell the parity of how many shingles fall on it: two sets differ in at least as many shingles as these bits do."""
+    bits = min(max(1 << (4 * len(shingles)).bit_length(), LEAST_BITS), MOST_BITS)
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _lead_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """LEAD_KEYS keys of each set, none of an empty one."""
+    odd = [np.uint64(x) for x in np.random.RandomState(4).randint(1, 2**62, 2 * LEAD_KEYS) * 2 + 1]
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sets)
+    some = [i for i, x in enumerate(sets) if len(x)]
+    if some:
+        all_, begins = np.concatenate([sets[i] for i in some]), np.cumsum([0, *(len(sets[i]) for i in some)])[:-1]
+        least = [np.minimum.reduceat(all_ * m, begins) for m in odd]
+        keys = np.column_stack([_base.mix64(_base.mix64(least[2 * k]) + least[2 * k + 1] + np.uint64(k)) for k in range(LEAD_KEYS)])
+        for i, row in zip(some, _base.as_signed(np.ascontiguousarray(keys)), strict=True):
+            out[i] = row
+    return out
+
 
+def sketches(docs: DataFrame, text_col: str, shingle: int, set_shingle: int, similarity: float) -> DataFrame:
+    """docs without the text, with fp, and of the set of set_shingle-word hashes its size n, parities, prefix p and lead keys."""
+    sent = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, set_shingle))
+    kept = [c for c in docs.columns if c != text_col]
+    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, level = sent.value
+        longs = pa.list_(pa.int64())
+        for batch in _base.chunks(batches, text_col):
+            texts = _base.texts_bytes(batch.column(batch.schema.get_field_index(text_col)))
+            sets = _shingle_sets(texts, set_shingle)
+            columns = [pa.array(_base.as_signed(fingerprints_of(texts, shingle))), pa.array([len(x) for x in sets], pa.int32()), pa.array([_parities(x) for x in sets], pa.binary()),
+                       pa.array([_prefix(x, common, level, similarity).view(np.int64) for x in sets], longs), pa.array(_lead_keys(sets), longs)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *columns], [*kept, "fp", "n", "parities", "p", "keys"])
+
+    return docs.select(*kept, text_col).mapInArrow(run, f"{types}, fp bigint, n int, parities binary, p array<bigint>, keys array<bigint>")
+
+
+def _nominated(printed: DataFrame) -> DataFrame:
+    """(u, v): hashes of texts that share a key of two least hashes, each with the first and the last text of the key: linear in the texts."""
+    keyed = _base.settle(printed.select(F.explode("keys").alias("key"), F.col("k.h").alias("h"), "fp").distinct(), "simhash-nominated")
+    one = F.struct("h", "fp")
+    ends = _base.settle(keyed.groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a.h < b.h"), "simhash-ends")
+    pairs = keyed.join(ends, "key").select("h", "fp", F.explode(F.array("a", "b")).alias("e")).where("h != e.h and fp != e.fp")
+    return pairs.select(F.greatest("h", "e.h").alias("u"), F.least("h", "e.h").alias("v")).distinct()
 
-def _possible(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of members of two blocks of a list that can reach the similarity if this is the first shingle they share, and are not grouped yet.
-    Pairs whose parities differ in more bits than such sets may differ in shingles are left out as well.
+
+class _Members:
+    """Members of posting lists as arrays; parities folded to fewer bits on demand (bit i of the half is the sum of bits i of both halves)."""
+
+    def __init__(self, members: pa.StructArray):
+        self.h, self.label, self.n = (members.field(k).to_numpy().astype(np.int64) for k in ("h", "label", "n"))
+        self.bytes = members.field("parities").to_pylist()
+        self.bits = np.array([8 * len(x) for x in self.bytes], np.int64)
+        self._folded: dict[int, np.ndarray] = {}
+
+    def folded(self, bits: int) -> np.ndarray:
+        """One row of 64-bit words for each member; zeros for those of fewer bits."""
+        if bits not in self._folded:
+            out = np.zeros((len(self.bits), bits // 64), np.uint64)
+            for size in np.unique(self.bits[self.bits >= bits]).tolist():
+                at = np.flatnonzero(self.bits == size)
+                rows = np.frombuffer(b"".join([self.bytes[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1, bits // 64)
+                out[at] = np.bitwise_xor.reduce(rows, axis=1)
+            self._folded[bits] = out
+        return self._folded[bits]
+
+
+def _possible(m: _Members, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], similarity: float) -> list[np.ndarray]:
+    """Pairs (h, h) of two blocks of a list, each (members, places of the shingle), that can reach the similarity if this is the first
+    shingle they share, and are not grouped yet. Pairs whose parities differ in more bits than such sets may differ in shingles are left out as well.
 
     What is left of each set from its place of the shingle on is as much as they can have in common, and
     similarity / (1 + similarity) of both sizes is what they need. A pair that has the similarity passes in the list of its first common shingle."""
     share, out = similarity / (1 + similarity), []
-    for at in range(0, len(x["h"]), 256):
-        part = {k: v[at : at + 256, None] for k, v in x.items() if k != "parities"}
-        need = share * (part["n"] + y["n"]) - _SLACK
-        good = (part["label"] != y["label"]) & (part["n"] - part["place"] >= need) & (y["n"] - y["place"] >= need)
-        if same:
-            good &= part["h"] < y["h"]
+    (xm, xp), (ym, yp) = x, y
+    for at in range(0, len(xm), 256):
+        part = xm[at : at + 256]
+        need = share * (m.n[part, None] + m.n[ym]) - _SLACK
+        good = (m.label[part, None] != m.label[ym]) & ((m.n[part] - xp[at : at + 256])[:, None] >= need) & (m.n[ym] - yp >= need)
+        if x is y:
+            good &= m.h[part, None] < m.h[ym]
         i, j = np.nonzero(good)
-        i += at
-        differ = np.bitwise_count(x["parities"][i] ^ y["parities"][j]).sum(axis=1)
-        can = differ <= (1 - share * 2) * (x["n"][i] + y["n"][j]) + _SLACK
-        out.append((i[can], j[can]))
-    i, j = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return i, j
+        i, j = part[i], ym[j]
+        bits = np.minimum(m.bits[i], m.bits[j])
+        can = np.zeros(len(i), bool)
+        for size in np.unique(bits).tolist():
+            here = np.flatnonzero(bits == size)
+            for some in np.array_split(here, 1 + len(here) * size // (1 << 25)):
+                differ = np.bitwise_count(m.folded(size)[i[some]] ^ m.folded(size)[j[some]]).sum(axis=1, dtype=np.int64)
+                can[some] = differ <= (1 - share * 2) * (m.n[i[some]] + m.n[j[some]]) + _SLACK
+        if can.any():
+            out.append(np.sort(np.column_stack([m.h[i[can]], m.h[j[can]]]), axis=1))
+    return out
 
 
-def _pairs(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+def _linked(members: pa.StructArray, a: int, b: int, similarity: float) -> np.ndarray:
+    """Distinct pairs of one group of lists: of the one long list's blocks a and b, or of all its short lists."""
+    m, at = _Members(members), members.field("at")
+    owner = np.repeat(np.arange(len(m.h)), at.value_lengths().to_numpy())
+    flat = at.flatten()
+    t, place, block = (flat.field(k).to_numpy() for k in ("t", "place", "block"))
+    order = np.lexsort((owner, t))
+    owner, place, block = owner[order], place[order].astype(np.int64), block[order]
+    found: list[np.ndarray] = []
+    if a != b:
+        found = _possible(m, *((owner[block == k], place[block == k]) for k in (a, b)), similarity)
+    else:
+        lists: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # lists of the same members are looked at once, with the least places
+        for seg in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(t[order])) + 1):
+            key = owner[seg].tobytes()
+            lists[key] = (owner[seg], np.minimum(place[seg], lists[key][1]) if key in lists else place[seg])
+        for x in lists.values():
+            found += _possible(m, x, x, similarity)
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
 def candidates(printed: DataFrame, labels: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(u, v), u > v: hashes of all texts of different labels whose sets can have the similarity. labels: (fp, label).
 
-    Every text is posted under the prefix of its set; every pair of every list is looked at, in blocks where a list is long."""
-    common, level = _common(printed)
-    sent = printed.sparkSession.sparkContext.broadcast((common, level))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, level = sent.value
-        for batch in batches:
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            first = pa.array([_prefix(x, common, level, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array([_parities(x) for x in sets]), first], ["h", "fp", "n", "parities", "p"])
+    Every text is posted under the prefix of its set; every pair of every list is looked at, in blocks where a list is long. Short
+    lists of the same first member go together, so that what many lists of one family of texts share is sent once."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs, held = [], [], 0
-            for a, b, members in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
-                m = {k: members.values.field(k).to_numpy().astype(np.int64) for k in ("h", "label", "n", "place", "block")}
-                m["parities"] = np.frombuffer(b"".join(members.values.field("parities").to_pylist()), np.uint64).reshape(-1, 8)
-                x = {k: v[m["block"] == a] for k, v in m.items()}
-                y = x if a == b else {k: v[m["block"] == b] for k, v in m.items()}
-                i, j = _possible(x, y, a == b, similarity)
-                us.append(x["h"][i])
-                vs.append(y["h"][j])
-                held += len(i)
-                if held > 500_000:
-                    yield _pairs(us, vs)
-                    us, vs, held = [], [], 0
-            if held:
-                yield _pairs(us, vs)
-
-    cuts = _base.settle(printed.select(F.col("k.h").alias("h"), "fp", "s").mapInArrow(cut, "h bigint, fp bigint, n int, parities binary, p array<bigint>"), "simhash-prefixes")
-    about = cuts.join(labels, "fp")
+            for a, b, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                pairs = _linked(members.values, a, b, similarity)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["u", "v"])
+
+    about = printed.select(F.col("k.h").alias("h"), "fp", "n", "parities", "p").join(_base.bounded(labels), "fp")
     # lists of several labels only: what is grouped already needs no pair
     lists = about.select("label", F.explode("p").alias("t")).groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     lists = _base.settle(lists.where("lo < hi").select("t"), "simhash-lists")
-    # the many postings go to their lists with no more than this; what the few that stay need comes after
-    posted = cuts.select("h", F.posexplode("p").alias("place", "t")).join(lists, "t", "left_semi").distinct()
+    posted = printed.select(F.col("k.h").alias("h"), F.posexplode("p").alias("place", "t")).join(_base.bounded(lists), "t", "left_semi").distinct()
     posted = _base.settle(posted, "simhash-posted")
-    sizes = posted.groupBy("t").agg(F.ceil(F.count("*") / LONG).cast("int").alias("blocks"))
-    members = about.select("h", "n", "label", "parities").dropDuplicates(["h"])
-    dealt = posted.join(sizes, "t").join(members, "h").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = F.struct("h", "label", "n", "place", "block", "parities")
-    blocks = dealt.groupBy("t", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).agg(F.collect_list(member).alias("m"))
-    return blocks.where(F.size("m") > 1).select("a", "b", "m").mapInArrow(link, "u bigint, v bigint").distinct()
-
-
-def similar(printed: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (u, v) of fingerprints, u > v, from the pairs of text hashes whose sets have at least that Jaccard similarity."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    sets = printed.select(F.col("k.h").alias("h"), "fp", "s").join(nodes, "h", "left_semi").dropDuplicates(["h"])
-    sets = _base.settle(sets, "simhash-sets")
+    met = _base.settle(posted.select("h").distinct(), "simhash-met")
+    members = _base.settle(about.select("h", "n", "label", "parities").join(_base.bounded(met), "h", "left_semi").dropDuplicates(["h"]), "simhash-members")
+    sizes = _base.settle(posted.groupBy("t").agg(F.count("*").alias("c"), F.min("h").alias("first")), "simhash-sizes")
+    short = F.col("c") <= LONG
+    loads = _base.settle(sizes.where(short).groupBy("first").agg((1 + F.floor(F.sum("c") / (64 * LONG))).cast("int").alias("parts")), "simhash-loads")
+    few = posted.join(sizes.where(short).join(loads, "first").select("t", "first", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("part")), "t")
+    few = few.select("first", "part", F.lit(0).alias("a"), F.lit(0).alias("b"), "h", "t", "place", F.lit(0).alias("block"))
+    many = posted.join(sizes.where(~short).select("t", F.ceil(F.col("c") / LONG).cast("int").alias("blocks")), "t").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select(F.col("t").alias("first"), F.lit(-1).alias("part"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "h", "t", "place", "block")
+    group = ["first", "part", "a", "b"]
+    dealt = few.unionByName(many).groupBy(*group, "h").agg(F.collect_list(F.struct("t", "place", "block")).alias("at"))
+    groups = dealt.join(members, "h").groupBy(*group).agg(F.collect_list(F.struct("h", "label", "n", "parities", "at")).alias("m"))
+    return groups.where(F.size("m") > 1).select("a", "b", "m").mapInArrow(link, "u bigint, v bigint").distinct()
+
+
+def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, set_shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Edges (u, v) of fingerprints, u > v, from the pairs of text hashes whose sets have at least that Jaccard similarity.
+
+    docs: (k, text), texts: (h, k, fp), one document for each text hash. The texts in pairs only are read again."""
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(texts, "h")
+    asked = _base.settle(asked.select(F.struct("k.n", "k.i", "k.h").alias("k"), "fp"), "simhash-asked")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _base.chunks(batches, "text"):
+            sets = _shingle_sets(_base.texts_bytes(batch.column(2)), set_shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], ["h", "fp", "s"])
+
+    wanted = docs.join(_base.bounded(asked), docs.k.eqNullSafe(asked.k)).select(asked.k.h.alias("h"), "fp", "text")
+    sets = _base.settle(wanted.mapInArrow(cut, "h bigint, fp bigint, s binary").dropDuplicates(["h"]), "simhash-sets")
     a = sets.select(F.col("h").alias("u"), F.col("fp").alias("fu"), F.col("s").alias("a"))
     b = sets.select(F.col("h").alias("v"), F.col("fp").alias("fv"), F.col("s").alias("b"))
 
@@ -358,25 +413,31 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Texts group if their fingerprints are within max_bits, or if the Jaccard similarity of their sets of five-word shingles is at
     least `similarity`; all such pairs count. A first round groups what a few least hashes nominate; the second looks at every pair
     of texts, still in different groups, that shares a shingle of both prefixes. Ids and hashes decide what goes before the kept texts move."""
-    key = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(_base.text_or_empty(text_col)).alias("h"))
-    printed = _base.settle(prints_and_sets(docs.select(text_col, key.alias("k")), text_col, shingle, SIMILAR_SHINGLE), "simhash-prints")
+    text, id_ = _base.text_or_empty(text_col), F.col(f"`{id_col}`")
+    key = F.struct(id_.isNull().alias("n"), id_.alias("i"), F.xxhash64(text).alias("h"))
+    keyed = docs.select(text.alias("text"), key.alias("k"))
+    printed = _base.settle(sketches(keyed, "text", shingle, SIMILAR_SHINGLE, similarity), "simhash-prints")
     reps = _base.settle(printed.groupBy("fp").agg(F.min("k").alias("k")), "simhash-reps")
+    texts = _base.settle(printed.groupBy(F.col("k.h").alias("h")).agg(F.min("k").alias("k"), F.first("fp").alias("fp")), "simhash-texts")
     near = links(reps.select("fp"), "fp", max_bits)
     first_found = _base.settle(_nominated(printed), "simhash-first")
-    edges = _base.settle(near.unionByName(similar(printed, first_found, similarity)), "simhash-edges")
+    edges = _base.settle(near.unionByName(similar(keyed, texts, first_found, similarity)), "simhash-edges")
     labels = _base.settle(_roots(reps, edges).select("fp", F.col("root").alias("label")), "simhash-labels")
     found = _base.settle(candidates(printed, labels, similarity), "simhash-candidates")
-    rooted = _roots(reps, edges.unionByName(similar(printed, found, similarity)))
-    first = rooted.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.i").alias("_ki"), F.col("k.h").alias("_kh"))
-    whole = docs.withColumn("_h", F.xxhash64(_base.text_or_empty(text_col)))
-    kept = whole.join(first, F.col(id_col).eqNullSafe(F.col("_ki")) & (F.col("_h") == F.col("_kh")), "left_semi")
-    several = _base.settle(printed.groupBy("k.i", "k.h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("i").alias("_ri"), F.col("h").alias("_rh")), "simhash-repeated")
+    rooted = _base.settle(_roots(reps, edges.unionByName(similar(keyed, texts, found, similarity))), "simhash-rooted")
+    first = rooted.groupBy("root").agg(F.min("k").alias("first"))
+    kept_keys = _base.settle(rooted.join(first, "root").select("fp", "first"), "simhash-kept")
+    counted = _base.settle(printed.groupBy("k", "fp").agg(F.count("*").alias("c")), "simhash-counted")
+    marked = counted.join(kept_keys, "fp")
+    gone = _base.settle(marked.where("k != first").select(F.col("k").alias("key")).distinct(), "simhash-gone")
+    several = _base.settle(marked.where("k = first and c > 1").select(F.col("k").alias("key")), "simhash-repeated")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"))
+    kept = whole.join(_base.bounded(gone), F.col("k").eqNullSafe(F.col("key")), "left_anti")
     if several.isEmpty():
-        return kept.select(*docs.columns)
-    marked = kept.join(several, F.col(id_col).eqNullSafe(F.col("_ri")) & (F.col("_h") == F.col("_rh")), "left").withColumn("_several", F.col("_rh").isNotNull())
-    alone = marked.where(~F.col("_several")).select(*docs.columns)
-    once = marked.where("_several").groupBy(F.col(id_col).alias("_g"), F.col("_h").alias("_gh")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-    return alone.unionByName(once.select("_row.*"))
+        return kept.select("row.*")
+    alone = kept.join(_base.bounded(several), F.col("k").eqNullSafe(F.col("key")), "left_anti").select("row.*")
+    once = kept.join(_base.bounded(several), F.col("k").eqNullSafe(F.col("key")), "left_semi").groupBy("k").agg(F.min("row").alias("row"))
+    return alone.unionByName(once.select("row.*"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
