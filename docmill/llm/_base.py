@@ -64,7 +64,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Rows of a few longs that may be sent to all tasks.
-SENT_ROWS = 4_000_000
+SENT_ROWS = 1_000_000
 
 
 def bounded(df: DataFrame) -> DataFrame:
