@@ -15,7 +15,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -44,11 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, a temporary folder in local mode and an error on a cluster."""
     global _local_scratch
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="docmill-")
         atexit.register(shutil.rmtree, _local_scratch, True)
@@ -72,6 +74,25 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT_ROWS else df
 
 
+def free(name: str, taken) -> str:
+    """A column name like this one that is not among those taken."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def sampled(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, most_bytes: int) -> DataFrame:
+    """(label, _text) of the chosen documents (id, label), one text an id (the least), as many as have most_bytes together in the order of a hash."""
+    (label,) = [c for c in chosen.columns if c != id_col]
+    keys = chosen.select(F.col(id_col).alias("_key"), F.col(label).alias("_mark"))
+    texts = docs.select(F.col(id_col).alias("_key"), text_or_empty(text_col).alias("_text"))
+    sizes = texts.join(F.broadcast(keys), "_key").groupBy("_key", "_mark").agg(F.max(F.octet_length("_text").cast("long")).alias("size"))
+    running = F.sum("size").over(Window.orderBy(F.xxhash64("_key"), "_key"))  # no more rows than were chosen
+    fitting = sizes.withColumn("sum", running).where(F.col("sum") <= most_bytes).select("_key", "_mark")
+    return texts.join(F.broadcast(fitting), "_key").groupBy("_key", "_mark").agg(F.min("_text").alias("_text")).select(F.col("_mark").alias(label), "_text")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 

@@ -7,7 +7,7 @@ in double precision. Rows live in bounded shards (docmill.llm.shards), each with
 no bucket of a common direction becomes one large group. Recall against brute force is in the README.
 
 Cases: rows without id, null, zero or empty vectors and vectors with null or non-finite components take
-no part; repeated rows count once; ties go to the smaller id; fewer candidates than k give
+no part; repeated rows count once, and an id with several vectors takes part with the least of them; ties go to the smaller id; fewer candidates than k give
 fewer results; vectors are hashed by direction, whatever their length; no queries or an empty table give an empty result.
 """
 

@@ -66,6 +66,8 @@ class Codec:
         letters = _byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {as_bytes(k): v for k, v in spec["model"]["vocab"].items()}
+        if max(self.ids.values()) >= 1 << 17:
+            raise ValueError("ids of 131072 and more do not fit the pair keys")
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {}  # (left << 17 | right): (rank << 17 | merged), so that values order by rank
         for r, (a, b) in enumerate(pairs):

@@ -121,8 +121,8 @@ def scan(docs: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str =
     first_is_file: in tables without file names, a directory's licence file is its matching document of the smallest id."""
     outputs = ("license", "how", "similarity", "line", "path")
     kept = [c for c in docs.columns if c not in outputs]
-    docs = docs.withColumn("_p", F.col(path_col)).withColumn("_i", F.col(id_col))
-    own = _base.settle(matches(docs, "_i", "_p", text_col, templates, threshold, licence_file), "licences")
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(path_col).alias("_p"), F.col(id_col).alias("_i"), F.col(text_col).alias("_x"))
+    own = _base.settle(matches(docs, "_i", "_p", "_x", templates, threshold, licence_file), "licences")
     names = F.array(*[F.lit(t[0]) for t in templates])
     own = own.select("_id", "_path", "_th", F.element_at(names, F.lit(1) - F.col("best.template")).alias("_license"), F.col("best.similarity").alias("_similarity"), (-F.col("best.line")).cast("int").alias("_line"))
     is_file = F.coalesce(F.col("_path"), F.lit("")).rlike(licence_file)
@@ -135,10 +135,10 @@ def scan(docs: DataFrame, path_col: str, id_col: str = "doc_id", text_col: str =
     ancestors = dirs.select("d", F.explode(F.array_distinct(up)).alias("a")).select("d", "a.depth", "a.up")
     resolved = _base.settle(ancestors.join(declared, F.col("up") == F.col("dir")).groupBy("d").agg(F.max_by("dir_license", "depth").alias("_inherited")), "directories")
     side = F.broadcast(resolved) if resolved.count() <= BROADCAST_DIRECTORIES else resolved
-    whole = docs.withColumn("_t", F.xxhash64(_base.text_or_empty(text_col))).withColumn("_d", directory(F.col("_p")))
+    whole = docs.withColumn("_t", F.xxhash64(_base.text_or_empty("_x"))).withColumn("_d", directory(F.col("_p")))
     joined = whole.join(own, F.col("_i").eqNullSafe(F.col("_id")) & F.col("_p").eqNullSafe(F.col("_path")) & (F.col("_t") == F.col("_th")), "left").join(side, F.col("_d") == F.col("d"), "left")
     how = F.when(F.col("_license").isNotNull(), F.when(F.col("_line") < 0, "file").otherwise("header")).when(F.col("_inherited").isNotNull(), "inherited").otherwise("none")
-    return joined.select(*kept, F.col("_p").alias("path"), F.coalesce("_license", "_inherited").alias("license"), how.alias("how"), F.col("_similarity").alias("similarity"), F.col("_line").alias("line"))
+    return joined.select("_row.*", F.col("_p").alias("path"), F.coalesce("_license", "_inherited").alias("license"), how.alias("how"), F.col("_similarity").alias("similarity"), F.col("_line").alias("line"))
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ terms only while their score so far plus the bounds of what is left can still co
 merged. Sums are exact: doubles as long as they hold every partial sum, Python integers beyond.
 
 Cases: rows without id, null vectors and vectors with null or non-finite components take no part; zero vectors do;
-repeated rows count once; ties go to the smaller id; fewer candidates than k give fewer results; no
+repeated rows count once, and an id with several vectors takes part with the least of them; ties go to the smaller id; fewer candidates than k give fewer results; no
 queries or an empty table give an empty result.
 """
 

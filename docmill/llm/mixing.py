@@ -67,9 +67,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def _apply(docs, sizes, id_col, source_col, weights, max_repeat, seed) -> DataFrame:
-    shares = _base.settle(plan(sizes, weights, max_repeat).withColumnRenamed("source", "_mix_source"), "mix-plan")
+    key = _base.free("_mix_source", docs.columns)
+    shares = _base.settle(plan(sizes, weights, max_repeat).withColumnRenamed("source", key), "mix-plan")
     side = F.broadcast(shares) if shares.count() <= BROADCAST_SOURCES else shares
-    joined = docs.join(side, F.col(source_col).eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
+    joined = docs.join(side, F.col(source_col).eqNullSafe(F.col(key)), "left").drop(key)
     whole = F.floor("rate")
     copies = (whole + F.when(draw(F.col(id_col), seed) < F.col("rate") - whole, 1).otherwise(0)).cast("int")
     return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
@@ -78,7 +79,8 @@ def _apply(docs, sizes, id_col, source_col, weights, max_repeat, seed) -> DataFr
 def expand(mixed: DataFrame) -> DataFrame:
     """Each row of mix() as often as its copies say, without the mix's own columns."""
     kept = [c for c in mixed.columns if c not in OUTPUT]
-    return mixed.where("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    copy = _base.free("_copy", kept)
+    return mixed.where("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).drop(copy)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from docmill.llm import _base, optim
 
 SAMPLE = 6000
+#: Bytes of text that the sample may have.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 L2 = 1e-3
 _CLASS = np.zeros(256, np.uint8)  # 0 white space or control, 1 upper, 2 lower, 3 digit, 4 sentence mark, 5 other ASCII sign, 6 beyond ASCII
@@ -181,11 +183,11 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> LineCrf:
-    """Fit on a bounded sample; its features, not its texts, come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> LineCrf:
+    """Fit on a sample of at most so many labelled documents and so many bytes of text; its features, not its texts, come to the driver."""
     marked = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
     chosen = marked.orderBy(F.xxhash64(F.col(id_col), F.lit(2)), id_col).limit(sample)
-    texts = docs.join(F.broadcast(chosen), id_col).select("_label", _base.text_or_empty(text_col).alias("_text"))
+    texts = _base.sampled(docs, chosen, id_col, text_col, sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _base.chunks(batches, "_text"):

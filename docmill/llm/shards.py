@@ -37,8 +37,9 @@ def search(rows: DataFrame, is_query, k: int, score_type: str, within: Callable[
     query's k best rows of the tile at least, ties included, its own id left out. Vectors of unequal length do not meet.
     Returns query_id, rank, vec_id, score."""
     ranked = Window.partitionBy("v").orderBy("id")
-    kept = rows.dropDuplicates(["id", "v"]).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k + 1).drop("_r")
-    queries = rows.where(is_query).dropDuplicates(["id"])
+    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    kept = rows.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k + 1).drop("_r")
+    queries = rows.where(is_query)
     n_rows, n_queries = rows.count(), queries.count()
     shards, blocks = max(1, math.ceil(n_rows / SHARD_ROWS)), max(1, math.ceil(n_queries / BLOCK_QUERIES))
     dim = F.size("v").alias("dim")

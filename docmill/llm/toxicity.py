@@ -27,6 +27,8 @@ from docmill.llm import _base, optim
 
 BUCKETS = 1 << 19
 SAMPLE = 8000
+#: Bytes of text that the sample may have.
+SAMPLE_BYTES = 64 << 20
 LEAST_DOCS = 5
 L2 = 0.002
 THRESHOLD = 0.2
@@ -123,11 +125,11 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Ordinal:
-    """Fit on a bounded sample; its features, not its texts, come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Ordinal:
+    """Fit on a sample of at most so many labelled documents and so many bytes of text; its features, not its texts, come to the driver."""
     graded = labels.where((F.col(grade_col) >= 0) & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.max(grade_col).cast("int").alias("_grade"))
     chosen = graded.orderBy(F.xxhash64(F.col(id_col), F.lit(1)), id_col).limit(sample)
-    texts = docs.join(F.broadcast(chosen), id_col).select("_grade", _base.text_or_empty(text_col).alias("_text"))
+    texts = _base.sampled(docs, chosen, id_col, text_col, sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _base.chunks(batches, "_text"):

@@ -195,6 +195,47 @@ def test_lattice_base_score_and_cases(spark, docs, monkeypatch):
     assert lattice.score(empty(spark)).count() == 0
 
 
+def by_segmentation(pieces, word, log_p, go, stop):
+    """Natural log of a word's probability, place by place in plain Python."""
+    place = {n: i for i, n in enumerate(pieces.names)}
+    word = lattice.MARK + word
+    at = [0.0] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        terms = []
+        for begin in range(max(0, end - pieces.most), end):
+            i = place.get(word[begin:end])
+            if at[begin] is not None and i is not None and pieces.begins[i] == (begin == 0):
+                terms.append(at[begin] + log_p[i] + (go if begin else 0.0))
+        if terms:
+            at[end] = max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
+    return at[-1] + stop
+
+
+def test_lattice_scores_of_whole_documents(spark, docs):
+    pieces = lattice.Pieces.load(lattice.default_vocabulary())
+    weights = pieces.log_weights()
+    learned = [r for r in ROWS if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    n = sum(len(words_of(r[1])) + 1 for r in learned)
+    log_end, log_word = math.log((len(learned) + 0.5) / (n + 1)), math.log((n - len(learned) + 0.5) / (n + 1))
+    one = {w: by_segmentation(pieces, w, *weights) for r in ROWS for w in words_of(r[1], True)}
+    want = collections.Counter((r[0], round((log_end + sum(one[w] + log_word for w in words_of(r[1], True))) / math.log(10), 4)) for r in ROWS)
+    got = lattice.score(docs).collect()
+    assert collections.Counter((r["doc_id"], round(r["vocabulary_score"], 4)) for r in got) == want
+    assert sum(r["score"] for r in got if not r["held_out"]) > sum(r["vocabulary_score"] for r in got if not r["held_out"])
+
+
+def test_lattice_takes_long_words_in_segments(spark, monkeypatch):
+    pieces = lattice.Pieces.load(lattice.default_vocabulary())
+    weights = pieces.log_weights()
+    words = [b"information" * 40, b"x" * 333, "é漢".encode() * 50]
+    whole, used = lattice.word_scores(pieces, words, weights)[0], lattice.expected_counts(pieces, words, np.array([1.0, 2.0, 3.0]), weights)
+    long_ = spark.createDataFrame([(1, "q" * 100_000 + " end", "en", "s", 1)], DOCS)
+    assert math.isfinite(lattice.score(long_).first()["score"])
+    monkeypatch.setattr(lattice, "SEGMENT", 50)
+    assert lattice.word_scores(pieces, words, weights)[0] == pytest.approx(whole)
+    assert lattice.expected_counts(pieces, words, np.array([1.0, 2.0, 3.0]), weights) == pytest.approx(used)
+
+
 def brute_removal(texts, window):
     where = collections.Counter(tuple(t[i : i + window]) for t in texts for i in range(len(t) - window + 1))
     out = []
@@ -339,12 +380,34 @@ def test_keep_one_finds_every_pair_just_above_the_threshold(spark):
     assert got == smallest_of_groups(rows) == list(range(1, 201))
 
 
-def test_long_posting_lists_link_like_short_ones():
+def test_long_posting_lists_link_like_short_ones(monkeypatch):
     r = np.random.RandomState(2)
     prints = np.unique((r.randint(0, 1 << 16, 700).astype(np.uint64) << np.uint64(8)) | np.uint64(5))
     want = groups([(int(a), int(b)) for a, b in itertools.combinations(prints, 2) if int(a ^ b).bit_count() <= 2], [int(p) for p in prints])
-    u, v = simhash._star(prints, 2)
-    assert {int(a): int(b) for a, b in zip(u, v, strict=True)} == {a: b for a, b in want.items() if a != b}
+    for longest in (100, 10_000):
+        monkeypatch.setattr(simhash, "LONG_LIST", longest)
+        u, v = simhash._star(prints, 2, (0, 3, 4, 5, 6))
+        assert {int(a): int(b) for a, b in zip(u, v, strict=True)} == {a: b for a, b in want.items() if a != b}
+
+
+def test_near_copies_meet_in_long_lists(spark, monkeypatch):
+    rows = template_family(40, np.random.RandomState(3))
+    monkeypatch.setattr(simhash, "LONG", 16)  # lists are dealt in blocks
+    got = sorted(r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == smallest_of_groups(rows)
+
+
+CLASHES = ("_id", "_th", "_text", "rest", "row", "k", "key", "_h", "fp", "_mix_source", "_copy", "_row", "_p", "_i", "_x", "d", "t")
+
+
+def test_columns_named_like_inner_ones_stay(spark, docs):
+    some = docs.where("doc_id is null or doc_id != 7")
+    clashing = some.withColumns({c: F.lit(c) for c in CLASHES})
+    for run in (substrings.deduplicate, simhash.keep_one, lambda d: mixing.expand(mixing.mix(d)), lambda d: licenses.scan(d, "source"), lambda d: bpe.round_trip(d)):
+        got, want = run(clashing), run(some)
+        plain = [c for c in want.columns if c not in CLASHES]
+        assert collections.Counter(map(str, got.select(plain).collect())) == collections.Counter(map(str, want.select(plain).collect()))
+        assert all(r[c] == c for r in got.select([c for c in CLASHES if c in got.columns]).collect() for c in r.asDict())
 
 
 def test_components(spark):
