@@ -85,13 +85,25 @@ class Database:
             authz.require(s, "configure", context, {}, self.library)
         if plan.is_empty:
             return plan
-        for item in plan.to_delete:
-            store = self.store(context)
-            if item.collection in store.manifest():
-                store.commit(store.version(), {item.collection: None}, {}, None)
+        for namespace in self.namespaces():
+            store, frames = Store(self.spark, self.root, namespace), {}
+            stored = store.manifest()
+            for item in plan.to_delete:
+                if item.collection in stored:
+                    frames[item.collection] = None
+            for item in plan.to_replace:
+                old, new = self.schemas[item.collection].struct(), schemas[item.collection].struct()
+                if item.collection in stored and old != new:
+                    frames[item.collection] = refitted(store.frame(item.collection, old), new)
+            if frames:
+                store.commit(store.version(), frames, {}, None)
         self._save_schemas(schemas)
         return plan
 
+    def namespaces(self) -> list[str]:
+        """Those that have data."""
+        return [n[3:] for n in self._schema_files.files.names(self.root) if n.startswith("ns=") and n != "ns=_schemas"]
+
     def _save_schemas(self, schemas: dict[str, CollectionSchema]) -> None:
         name = f"{self._schema_files.root}/_manifests/manifest-{self._schema_version + 1:010d}.json"
         if not self._schema_files.files.create(name, json.dumps({n: s.raw for n, s in schemas.items()})):
@@ -324,7 +336,7 @@ class Transaction:
         self._authorized(action, collection, names)
 
     def create_all(self, collection: str, rows: DataFrame) -> None:
-        """Whole frames: columns are the collection's, missing ones are null."""
+        """Whole frames: columns are the collection's, missing ones are null. An id that is there twice is an error, as in the other commands but delete_all."""
         self._write("create", collection, self._fit(collection, rows), {})
 
     def set_all(self, collection: str, rows: DataFrame) -> None:
@@ -346,21 +358,15 @@ class Transaction:
         s = self.db.schema(collection)
         self._may(action, collection, names)
         key, schema, current = s.primary_key, s.struct(), self._rows(collection)
-        rows = rows.dropDuplicates([key])
         if action == "delete":
-            self._delete(collection, rows.select(key), set())
+            self._delete(collection, rows.select(key).distinct(), set())
             return
         for p in s.properties:
             if p.compute and p.compute.write:
                 rows = rows.withColumn(p.name, self._computed(p.compute.expr).cast(schema[p.name].dataType))
         joined = rows.select(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]).alias("new")).join(
             current.select(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]).alias("old")), F.col(f"new.{key}") == F.col(f"old.{key}"), "left")
-        if action == "create" and not self.db.compat and joined.where("old is not null").limit(1).count():
-            raise Validation(f"{collection}: a document with this id exists")
         if action == "update":
-            missing = joined.where("old is null").select(f"new.{key}").limit(1).collect()
-            if missing:
-                raise NotFound(f"{collection} {missing[0][0]} not found")
             columns = docs.merged(schema, "old", "new")
             columns = [*columns[:-1], self._merge_extra().alias(EXTRA)]
         else:
@@ -372,21 +378,36 @@ class Transaction:
         for p in s.properties:
             if p.immutable and action in ("update", "set"):
                 after = after.withColumn(p.name, F.when(F.col("_old").isNull(), F.col(p.name)).otherwise(F.coalesce(F.col(f"_old.`{p.name}`"), F.col(p.name))))
-        after = after.drop("_old")
+        # written once: the checks, the data and the change log all read the same rows, clocks and ids included
+        written = self._written(after.select(*[F.col(f"`{f.name}`") for f in schema.fields], F.col("_old").isNotNull().alias("_known")))
+        after = written.drop("_known")
+        if action == "create" and not self.db.compat and not written.where("_known").isEmpty():
+            raise Validation(f"{collection}: a document with this id exists")
+        if action == "update":
+            missing = written.where("not _known").select(key).limit(1).collect()
+            if missing:
+                raise NotFound(f"{collection} {missing[0][0]} not found")
+        twice = written.groupBy(key).count().where("count > 1").select(key).limit(1).collect()
+        if twice:
+            raise Validation(f"{collection} {twice[0][0]}: the id is there twice")
         bad = after.select(key, s.errors(lambda p: paths.resolve(schema, p)).alias("errors")).where(F.size("errors") > 0).limit(3).collect()
         if bad:
             raise Validation(f"{collection} {bad[0][0]}: " + "; ".join(bad[0]["errors"]))
         self._stage(collection, current.join(after.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").unionByName(after))
-        self.touched.setdefault(collection, []).append((action, rows.select(F.col(key).alias("id"))))
+        self.touched.setdefault(collection, []).append((action, after.select(F.col(key).alias("id"))))
+
+    def _written(self, rows: DataFrame) -> DataFrame:
+        """rows in a folder of this transaction, which goes at its end."""
+        folder = f"{self.store.root}/_staged/{uuid.uuid4().hex}"
+        rows.write.parquet(folder)
+        self._folders.append(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
 
     def _stage(self, collection: str, rows: DataFrame) -> None:
         """Every so many commands the staged rows are written, so that plans stay short however long a transaction is."""
         self._depth[collection] = self._depth.get(collection, 0) + 1
         if self._depth[collection] % STAGED_PLANS == 0:
-            folder = f"{self.store.root}/_staged/{uuid.uuid4().hex}"
-            rows.write.parquet(folder)
-            self._folders.append(folder)
-            rows = self.spark.read.schema(rows.schema).parquet(folder)
+            rows = self._written(rows)
         self.staged[collection] = rows
 
     def _clean(self) -> None:
@@ -546,6 +567,25 @@ class Transaction:
         raise Validation("unsupported command")
 
 
+def refitted(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Stored rows under another schema: fields keep what can be cast, new ones are null."""
+    have = {f.name: f.dataType for f in rows.schema.fields}
+
+    def one(f: T.StructField):
+        if f.name not in have:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        at = F.col(f"`{f.name}`")
+        if have[f.name] == f.dataType:
+            return at
+        nested = (T.StructType, T.ArrayType, T.MapType)
+        if isinstance(have[f.name], nested) or isinstance(f.dataType, nested):
+            text = F.to_json(at) if isinstance(have[f.name], nested) else at.cast("string")
+            return (F.from_json(text, f.dataType) if isinstance(f.dataType, nested) else text.try_cast(f.dataType)).alias(f.name)
+        return at.try_cast(f.dataType).alias(f.name)
+
+    return rows.select(*[one(f) for f in schema.fields])
+
+
 def _as_map(side: str):
     return F.from_json(F.col(f"{side}.{EXTRA}"), "map<string,variant>")
 

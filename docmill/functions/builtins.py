@@ -39,8 +39,48 @@ def find(a: Column, predicate) -> Column:
     return F.try_element_at(F.filter(a, predicate), F.lit(1))
 
 
-def contains(c: Column, value, is_list: bool = False) -> Column:
-    return F.coalesce(F.array_contains(c, value) if is_list else c.contains(value), F.lit(False))
+def _json_of(c: Column) -> Column:
+    """The value of any type as JSON, null for a null."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
+def contains(c: Column, value) -> Column:
+    """Of a list: the element; of a text: the part."""
+    listed = F.array_contains(F.from_json(_json_of(c), "array<string>"), F.lit(str(value)))
+    return F.coalesce(F.when(F.typeof(c).startswith("array"), listed).otherwise(c.cast("string").contains(str(value))), F.lit(False))
+
+
+def is_zero(c: Column) -> Column:
+    """Null, 0, false and the empty text."""
+    return _json_of(c).isin("", "0", "0.0", "false", '""')
+
+
+def empty(c: Column) -> Column:
+    """What is zero, and lists and objects without members."""
+    return is_zero(c) | _json_of(c).isin("[]", "{}")
+
+
+def length(c: Column) -> Column:
+    """Of a list; 0 for anything else."""
+    return F.coalesce(F.when(F.typeof(c).startswith("array"), F.json_array_length(_json_of(c))), F.lit(0))
+
+
+def to_slice(c: Column) -> Column:
+    """A list as it is, as variants; empty for anything else."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(_json_of(c)), "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+_UNITS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
+
+
+def to_duration(c: Column) -> Column:
+    """Nanoseconds of texts like 1h30m or 2.5s, or of a number; 0 for anything else."""
+    text = c.cast("string")
+    parts = F.regexp_extract_all(text, F.lit(r"([0-9.]+)(h|ms|m|s|us|ns)"), F.lit(0))
+    unit = F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in pair])
+    nanos = F.aggregate(parts, F.lit(0).cast("bigint"), lambda sum_, p: sum_ + F.round(F.regexp_extract(p, "^[0-9.]+", 0).try_cast("double") * unit[F.regexp_extract(p, "[a-z]+$", 0)]).cast("bigint"))
+    signed = F.when(text.startswith("-"), -nanos).otherwise(nanos)
+    return F.when(text.rlike(r"^[-+]?([0-9.]+(h|ms|m|s|us|ns))+$"), signed).otherwise(F.coalesce(text.try_cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def drop(a: Column, n: int) -> Column:
@@ -96,14 +136,6 @@ def unquote(c: Column) -> Column:
     return F.from_json(F.concat(F.lit('{"v":'), c, F.lit("}")), "v string").getField("v")
 
 
-def empty_text(c: Column) -> Column:
-    return c.isNull() | (c == "")
-
-
-def empty_list(c: Column) -> Column:
-    return c.isNull() | (F.size(c) == 0)
-
-
 #: Functions under their script names, by what they take: columns and plain arguments.
 BUILTINS = {
     "toStr": to_str, "toInt": to_int, "toFloat": to_float, "toBool": to_bool, "toTime": to_time,
@@ -112,8 +144,8 @@ BUILTINS = {
     "chunk": chunk, "map": F.transform, "filter": F.filter, "find": find, "contains": contains,
     "equal": lambda a, b: a.eqNullSafe(b), "deepEqual": lambda a, b: F.to_json(a).eqNullSafe(F.to_json(b)),
     "keys": F.map_keys, "values": F.map_values, "flatten": F.flatten, "uniq": F.array_distinct, "drop": drop, "last": last,
-    "empty": empty_text, "notEmpty": lambda c: ~empty_text(c), "difference": difference, "isZero": lambda c: to_float(c) == 0,
-    "sum": array_sum, "set": lambda c, k, v: c.withField(k, v), "getOr": F.coalesce, "len": lambda a: F.coalesce(F.size(a), F.lit(0)),
+    "empty": empty, "notEmpty": lambda c: ~empty(c), "difference": difference, "isZero": is_zero,
+    "sum": array_sum, "set": lambda c, k, v: c.withField(k, v), "getOr": F.coalesce, "len": length,
     "toMap": lambda c: F.from_json(c, "map<string,string>"), "asDoc": lambda c: F.parse_json(F.to_json(c)),
     "indexOf": index_of, "join": F.array_join, "split": split, "replace": lambda c, a, b: F.replace(c, F.lit(a), F.lit(b)),
     "lower": F.lower, "upper": F.upper, "trim": trim, "trimLeft": trim_left, "trimRight": trim_right, "trimPrefix": trim_prefix, "trimSuffix": trim_suffix,
@@ -123,5 +155,5 @@ BUILTINS = {
     "unixMicro": F.timestamp_micros, "unixMilli": F.timestamp_millis, "unix": F.timestamp_seconds, "date": F.make_timestamp,
     "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "md5": F.md5,
     "base64Encode": lambda c: F.base64(c.cast("binary")), "base64Decode": lambda c: F.unbase64(c).cast("string"),
-    "jsonEncode": F.to_json, "jsonDecode": F.parse_json, "newDocumentFrom": F.parse_json, "toSlice": lambda c: F.array(c), "prune": lambda c, *names: F.struct(*[c.getField(n).alias(n) for n in names]),
+    "jsonEncode": F.to_json, "jsonDecode": F.parse_json, "newDocumentFrom": F.parse_json, "toSlice": to_slice, "toDuration": to_duration, "newDocument": lambda: F.parse_json(F.lit("{}")), "prune": lambda c, *names: F.struct(*[c.getField(n).alias(n) for n in names]),
 }

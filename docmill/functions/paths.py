@@ -24,6 +24,7 @@ class Resolved:
     kind: T.DataType  # VariantType: a value whose type only the row knows
 
 
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -158,7 +159,11 @@ def modify(at: Resolved, name: str, argument: str = "") -> Resolved:
     if name == "dateTrunc":
         if argument not in ("day", "month", "year"):
             return Resolved(raw_text(at), T.StringType())
-        return Resolved(F.date_format(F.date_trunc(argument, _time(at)), "yyyy-MM-dd HH:mm:ss '+0000 UTC'"), T.StringType())
+        if family(at.kind) == "time":
+            return Resolved(F.date_format(F.date_trunc(argument, _time(at)), "yyyy-MM-dd HH:mm:ss '+0000 UTC'"), T.StringType())
+        own = F.regexp_extract(raw_text(at), r"^\s*(\d{4}-\d{2}-\d{2})", 1)  # the date that the text itself has, whatever its zone
+        kept = {"day": own, "month": F.concat(F.left(own, F.lit(7)), F.lit("-01")), "year": F.concat(F.left(own, F.lit(4)), F.lit("-01-01"))}[argument]
+        return Resolved(F.when(_time(at).isNotNull(), F.concat(kept, F.lit(" 00:00:00 +0000 UTC"))), T.StringType())
     if name == "unix":
         return Resolved(F.unix_seconds(_time(at)).cast("string"), T.StringType())
     if name == "unixMilli":

@@ -8,7 +8,6 @@ compare natively. The clauses of a list are all required.
 from __future__ import annotations
 
 import operator
-import re
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -136,7 +135,8 @@ def clause(w: Where, resolve: Resolver, other: Resolver | None = None, compat: b
         b = (other or resolve)(reference)
         if op in ("eq", "neq"):
             return same(at, b) if op == "eq" else ~same(at, b)
-        left, right = (paths.number(x) if x is not None else F.lit(0.0) for x in (at, b))
+        whole = all(x is None or isinstance(x.kind, paths.INTEGERS) for x in (at, b))  # longs beyond 2**53 keep their last digits
+        left, right = (F.lit(0) if x is None else F.coalesce(x.col.cast("bigint"), F.lit(0)) if whole else paths.number(x) for x in (at, b))
         return _ORDER[op](left, right)
     if op == "eq":
         return equals(at, value)
@@ -163,14 +163,25 @@ def clause(w: Where, resolve: Resolver, other: Resolver | None = None, compat: b
     if op == "hasSuffix":
         return text.endswith(str(value))
     if op == "regex":
-        try:
-            re.compile(str(value))
-        except re.error:
-            return F.lit(False)
-        return text.rlike(str(value))
+        pattern = _java_pattern(str(value))
+        return F.lit(False) if pattern is None else text.rlike(pattern)
     raise Validation(f"where: unknown operator {op!r}")
 
 
+def _java_pattern(pattern: str) -> str | None:
+    """The pattern as Java takes it (groups named by ?P< included), or None if it is none."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import PySparkException
+
+    pattern = pattern.replace("(?P<", "(?<")
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
+        return None
+    return pattern
+
+
 def conjunction(wheres, resolve: Resolver, other: Resolver | None = None, compat: bool = False) -> Column | None:
     clauses = [clause(w, resolve, other, compat) for w in wheres]
     return reduce(operator.and_, clauses) if clauses else None

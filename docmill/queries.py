@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import builtins as B
-from docmill.plans.compiler import compile_query
+from docmill.plans.compiler import compile_query, filtered
 from docmill.plans.model import Join, OrderBy, Q, Query, Select, Where
 
 KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey", "events": "event_id", "documents": "doc_id"}
@@ -96,7 +96,15 @@ _add("where_has_prefix", over("part", _parts(Where("p_name", "hasPrefix", "s")))
 _add("where_has_suffix", over("part", _parts(Where("p_name", "hasSuffix", "g"))), _P + "ends_with(p_name, 'g')")
 _add("where_regex", over("part", _parts(Where("p_name", "regex", "^[a-m].*r"))), _P + "regexp_matches(p_name, '^[a-m].*r')")
 _add("where_conjunction", over("lineitem", _lines(Where("l_quantity", "gt", 30), Where("l_returnflag", "eq", "R"), Where("l_discount", "lte", 0.05))), _L + "l_quantity > 30 and l_returnflag = 'R' and l_discount <= 0.05")
-_add("foreach_scan", over("documents", Q().select("doc_id", "source").where(Where("text", "regex", "(?i)licen[sc]e"), Where("lang", "eq", "en"))), "select doc_id, source from documents where regexp_matches(text, '(?i)licen[sc]e') and lang = 'en'")
+
+
+def foreach_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan behind ForEach: filtered documents, whole, before anything is handed out one by one."""
+    where = (Where("text", "regex", "(?i)licen[sc]e"), Where("lang", "eq", "en"))
+    return filtered(table(spark, sf_dir, "documents"), (), where, lambda n: table(spark, sf_dir, n), False).select("doc_id", "source")
+
+
+_add("foreach_scan", foreach_scan, "select doc_id, source from documents where regexp_matches(text, '(?i)licen[sc]e') and lang = 'en'")
 
 _add("join_left_eq", over("orders", Q().select("o_orderkey", Select("c.c_name", as_="customer")).join(_to_customer)), "select o_orderkey, c_name as customer from orders left join customer on c_custkey = o_custkey")
 _add("join_theta_neq", over("nation", Q().select("n_name", Select("r.r_name", as_="other")).join(Join("region", (Where("r_regionkey", "neq", "$n_regionkey"),), "r"))), "select n_name, r_name as other from nation left join region on r_regionkey <> n_regionkey")
@@ -132,7 +140,7 @@ _add("page_2", over("customer", Q().select("c_custkey", "c_acctbal").order_by(Or
 _add("agg_order_page", over("orders", Q().select("o_custkey", Select("o_orderkey", "count", "n")).group_by("o_custkey").order_by(OrderBy("n", "desc"), OrderBy("o_custkey")).limit(5).page(1)), "select o_custkey, count(*)::double as n from orders group by 1 order by n desc, o_custkey limit 5 offset 5")
 
 _add("json_get", over("events", Q().select("event_id", Select("props.k", as_="k"))), "select event_id, props->>'$.k' as k from events")
-_add("json_exists", over("events", Q().select("event_id").where(Where("props.k", "neq", "null"))), "select event_id from events where props->>'$.k' is not null")
+_add("json_not_null", over("events", Q().select("event_id").where(Where("props.k", "neq", "null"))), "select event_id from events where props->>'$.k' is not null")
 _add("json_eq", over("events", Q().select("event_id").where(Where("props.k", "eq", 42))), "select event_id from events where (props->>'$.k') = '42'")
 _add("array_path", over("embeddings", Q().select("vec_id", Select("embedding.0", as_="first"), Select("embedding.#", as_="n"))), "select vec_id, embedding[1] as first, len(embedding)::bigint as n from embeddings")
 _add("mod_case", over("part", Q().select("p_partkey", Select("p_name|@upper", as_="up"), Select("p_brand|@lower", as_="low"), Select("p_name|@snakeCase", as_="snake"), Select("p_name|@kebabCase", as_="kebab"), Select("p_name|@camelCase", as_="camel"))), "select p_partkey, upper(p_name) as up, lower(p_brand) as low, replace(lower(p_name), ' ', '_') as snake, replace(lower(p_name), ' ', '-') as kebab, lower(string_split(p_name, ' ')[1]) || upper(string_split(p_name, ' ')[2][1]) || lower(string_split(p_name, ' ')[2][2:]) as camel from part")

@@ -79,7 +79,7 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_custkey <= 1000")
+    orders, customer = table(spark, sf_dir, "orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))), table(spark, sf_dir, "customer")
     db = Database(spark, _root(spark))
     db.configure([_schema_of(orders, "orders", "o_orderkey", o_custkey={"x-foreign": {"collection": "customer"}}), _schema_of(customer, "customer", "c_custkey")])
     t = db.begin()
@@ -154,7 +154,7 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _root(spark)
     _, log = _history(spark, sf_dir)
     log.select(*[F.col(f.name).cast(f.dataType) for f in spark.createDataFrame([], CDC_TYPE).schema]).write.parquet(f"{root}/log")
-    found = stream(spark, f"{root}/log", "user", [Where("action", "eq", "update"), Where("documentID", "in", ["1", "2", "3"])]).select("_id", "documentID")
+    found = stream(spark, f"{root}/log", "user", [Where("action", "eq", "update")]).select("_id", "documentID")
     found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{root}/out")
 
@@ -202,11 +202,16 @@ SQL = {
     "tx_update": "select c_custkey, c_name, c_nationkey::bigint as c_nationkey, case when c_mktsegment = 'BUILDING' then 0.0 else c_acctbal end as c_acctbal, c_mktsegment from customer",
     "tx_delete_cascade": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation where n_regionkey <> 1",
     "change_log": "select n_nationkey::varchar as documentID, 'replace' as op, 'n_name' as path, lower(n_name) as value, n_name as before from nation where n_regionkey = 2",
-    "fk_violations": "select o_orderkey::varchar as id, o_custkey::varchar as value from orders where o_custkey not in (select c_custkey from customer where c_custkey <= 1000)",
+    "fk_violations": "select o_orderkey::varchar as id, k::varchar as value from (select o_orderkey, case when o_orderkey % 11 = 0 then -o_custkey else o_custkey end as k from orders) where k not in (select c_custkey from customer)",
     "unique_violations": "select 'unique p_name' as rule, p_name as value from part group by p_name having count(*) > 1",
     "schema_violations": "select event_id, n, too_large from (select event_id, ((value > 400)::int + (event_type not in ('click', 'view', 'purchase'))::int + (not regexp_matches(props, '[0-4][0-9]}'))::int)::int as n, value > 400 as too_large from events) where n > 0",
     "doc_diff": "select c_custkey, 'replace' as op, 'c_acctbal' as path, c_acctbal::varchar as before from customer where c_custkey % 3 = 0 and c_acctbal <> 1.5 union all select c_custkey, 'remove', 'c_mktsegment', c_mktsegment from customer where c_custkey % 5 = 0",
     "time_travel": "select user_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value from events where ts < timestamp '2024-01-16 00:00:00' group by user_id",
     "revert": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation",
-    "change_stream": "select event_id::varchar as _id, user_id::varchar as documentID from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as n from events) where n > 1 and user_id in (1, 2, 3)",
+    "change_stream": "select event_id::varchar as _id, user_id::varchar as documentID from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as n from events) where n > 1",
+    "explain_choice": "select * from (values ('none', '_id.primaryidx', '', '', false), ('key', '_id.primaryidx', '_id', '', false), ('two', 'account_language_idx', 'account_id,language', '', false), ('range', 'language_idx', '', 'language', true)) v(name, index, matched, seek, reverse)",
+    "plan_diff": "select 'delete' as kind, 'user' as collection, 'remove' as op, path from (values ('properties._id.type'), ('properties._id.x-primary'), ('properties.account_id.type'), ('properties.account_id.x-foreign.collection'), ('properties.account_id.x-index.account_language_idx.additional_fields'), ('properties.language.type'), ('properties.language.x-index.language_idx'), ('required'), ('type'), ('x-collection')) v(path)",
+    "authz_matrix": "select action, role, role = 'super_user' as allowed from (values ('create'), ('set'), ('query')) a(action), (values ('super_user'), ('read_only'), ('other')) r(role)",
+    "dag_order": "select * from (values (0, 'account'), (1, 'user')) v(n, collection)",
+    "cmd_dispatch": """select 0 as n, '{"get": {"n_name": "' || n_name || '", "n_nationkey": 3, "n_regionkey": ' || n_regionkey || '}}' as response from nation where n_nationkey = 3 union all select 1, '{"update": {"n_name": "x", "n_nationkey": 3, "n_regionkey": ' || n_regionkey || '}}' from nation where n_nationkey = 3 union all select 2, '{"page": {"count": 1, "documents": [{"n_name": "x"}], "nextPage": 1}}' union all select 3, '{"rollback": {}}'""",
 }

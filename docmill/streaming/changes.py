@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors.exceptions.base import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,7 +31,8 @@ def stream(spark: SparkSession, log_path: str, collection: str = "*", where: Ite
 
 
 def subscribe(db, collection: str, handler: Callable[[dict], bool | None], checkpoint: str, where: Iterable[Where] = (), context: Context | None = None, follow: bool = False) -> StreamingQuery:
-    """Call the handler with every change record, in order of time within a batch; it stops the stream by returning False.
+    """Call the handler with every change record, in order of time within a batch; it stops the stream by returning False:
+    the query ends, and that batch is delivered again to whoever goes on from the checkpoint.
 
     The checkpoint folder remembers what was delivered. follow: keep running; else stop at the end of what is there.
     Only internal callers may subscribe to all collections ("*")."""
@@ -46,17 +48,19 @@ def subscribe(db, collection: str, handler: Callable[[dict], bool | None], check
     done = []
 
     def batch(df: DataFrame, _: int) -> None:
-        if done:
-            return
         for row in df.orderBy("timestamp", "_id").toLocalIterator():
             record = row.asDict(recursive=True)
             record["metadata"] = json.loads(record["metadata"] or "{}")
             if handler(record) is False:
                 done.append(True)
-                return
+                raise StopIteration("stopped by the handler")  # ends the query; the batch does not count as delivered
 
     writer = stream(db.spark, store.cdc_path, collection, where).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     query = (writer if follow else writer.trigger(availableNow=True)).start()
     if not follow:
-        query.awaitTermination()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if not done:
+                raise
     return query

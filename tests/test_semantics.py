@@ -123,7 +123,7 @@ def test_builtins(spark):
     lit, a = F.lit, F.array(*[F.lit(x) for x in (3, 1, 3)])
     cases = [(B.to_int(lit("x")), 0), (B.to_float(lit("2.5")), 2.5), (B.to_bool(lit("yes")), False), (B.to_bool(lit("t")), True), (B.chunk(a, 2), [[3, 1], [3]]), (B.drop(a, 1), [1, 3]), (B.last(a), 3), (B.array_sum(a), 7.0), (B.index_of(a, 1), 1),
              (B.split(lit("a.b"), "."), ["a", "b"]), (B.trim(lit(" x ")), "x"), (B.trim_left(lit("xxa"), "x"), "a"), (B.trim_prefix(lit("abc"), "ab"), "c"), (B.trim_suffix(lit("abc"), "bc"), "a"), (B.quote(lit('a"b')), '"a\\"b"'), (B.unquote(lit('"a"')), "a"),
-             (B.find(a, lambda x: x < 3), 1), (B.contains(a, 1, True), True), (B.empty_list(F.array()), True), (B.BUILTINS["uniq"](a), [3, 1]), (B.BUILTINS["len"](a), 3), (B.BUILTINS["base64Decode"](lit("YQ==")), "a")]
+             (B.find(a, lambda x: x < 3), 1), (B.contains(a, 1), True), (B.empty(F.array()), True), (B.BUILTINS["uniq"](a), [3, 1]), (B.BUILTINS["len"](a), 3), (B.BUILTINS["base64Decode"](lit("YQ==")), "a")]
     got = one.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
     for i, (_, want) in enumerate(cases):
         assert got[i] == want, i
