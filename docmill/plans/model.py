@@ -191,11 +191,9 @@ class Explain:
 
     collection: str = ""
     index: str = ""
-    matched_fields: tuple[str, ...] = ()
-    matched_values: tuple[tuple[str, Any], ...] = ()
-    seek_fields: tuple[str, ...] = ()
-    seek_values: tuple[tuple[str, Any], ...] = ()
-    reverse: bool = False
+    equal: tuple[tuple[str, Any], ...] = ()  # fields and what they are to equal
+    bound: Where | None = None
+    backwards: bool = False
 
 
 @dataclass

@@ -166,7 +166,7 @@ _ACCOUNT = {"type": "object", "x-collection": "account", "required": ["_id"], "p
 def explain_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = schema.parse(_USER)
     lists = {"none": (), "key": (Where("_id", "eq", "1"),), "two": (Where("account_id", "eq", "1"), Where("language", "eq", "x")), "range": (Where("language", "lt", "x"),)}
-    rows = [(n, e.index, ",".join(e.matched_fields), ",".join(e.seek_fields), e.reverse) for n, w in lists.items() for e in [explain.choose(s, w)]]
+    rows = [(n, e.index, ",".join(f for f, _ in e.equal), e.bound.field if e.bound else "", e.backwards) for n, w in lists.items() for e in [explain.choose(s, w)]]
     return spark.createDataFrame(rows, "name string, index string, matched string, seek string, reverse boolean")
 
 

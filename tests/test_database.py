@@ -1,3 +1,5 @@
+"""A lending library as a database: shelves hold books, readers borrow them."""
+
 import time
 
 import pytest
@@ -8,216 +10,208 @@ from docmill.errors import DocError, Forbidden, NotFound, Validation
 from docmill.plans.model import Join, OrderBy, Q, Query, Select, Where
 from docmill.streaming.changes import subscribe
 
-ACCOUNT = """
-type: object
-x-collection: account
-required: [_id, name, status]
-properties:
-  _id: {type: string, x-primary: true}
-  name: {type: string, x-immutable: true}
-  status: {type: string, default: inactive, x-index: {status_idx: {}}}
-  created_at: {type: integer, x-immutable: true, x-compute: {expr: "now().UnixMilli()", write: true}}
-x-authorization:
-  rules:
-    - {effect: allow, action: ["*"], match: "isSuperUser(meta)"}
-    - {effect: deny, action: [create, update, delete, set], match: "contains(meta.Get('roles'), 'read_only')"}
-    - {effect: allow, action: [create, update, delete, set], match: "doc.Get('_id') == meta.Get('account_id')"}
-    - {effect: allow, action: [query], match: "query.where?.length > 0 && query.where[0].field == '_id' && contains(meta.Get('groups'), query.where[0].value)"}
-"""
-USER = """
-type: object
-x-collection: user
-required: [_id, name, age, account_id]
-properties:
-  _id: {type: string, x-primary: true}
-  name: {type: string}
-  contact: {type: object, properties: {email: {type: string, x-unique: true}}}
-  age: {type: integer, minimum: 0}
-  account_id: {type: string, x-foreign: {collection: account, cascade: true}, x-index: {account_email_idx: {additional_fields: [contact.email]}}}
-  gender: {type: string, enum: [male, female]}
-  tags: {type: array, items: {type: string}}
-  timestamp: {type: string}
-x-triggers:
-  stamp: {order: 1, events: [onCreate, onSet], script: "doc.Set('timestamp', new Date().toISOString())"}
-"""
-TASK = """
-type: object
-x-collection: task
-required: [_id, user, content]
-properties:
-  _id: {type: string, x-primary: true}
-  user: {type: string, x-foreign: {collection: user, cascade: true}}
-  content: {type: string}
-"""
-LIBRARY = "function isSuperUser(meta) { return contains(meta.Get('roles'), 'super_user') }"
-ROOT = Context({"roles": ["super_user"]})
+SHELF = {
+    "type": "object", "x-collection": "shelf", "required": ["code"],
+    "properties": {
+        "code": {"type": "string", "x-primary": True}, "floor": {"type": "integer", "minimum": 0, "maximum": 9, "x-immutable": True}, "mood": {"type": "string", "default": "quiet"},
+        "opened": {"type": "integer", "x-compute": {"expr": "now().Unix()", "write": True}},
+    },
+    "x-authorization": {"rules": [
+        {"effect": "deny", "action": ["delete"], "match": "meta.Get('desk') == 'visitor'"},
+        {"effect": "allow", "action": ["query"], "match": "true"},
+        {"effect": "allow", "action": ["*"], "match": "staff(meta)"},
+        {"effect": "allow", "action": ["set", "delete"], "match": "doc.Get('floor') == meta.Get('floor')"},
+    ]},
+}
+BOOK = {
+    "type": "object", "x-collection": "book", "required": ["isbn", "title", "shelf"],
+    "properties": {
+        "isbn": {"type": "string", "x-primary": True}, "title": {"type": "string"}, "pages": {"type": "integer", "minimum": 1}, "shelf": {"type": "string", "x-foreign": {"collection": "shelf", "cascade": True}, "x-index": {"by_place": {"additional_fields": ["pages"]}}},
+        "print": {"type": "object", "properties": {"barcode": {"type": "string", "x-unique": True}}}, "binding": {"type": "string", "enum": ["paper", "cloth"]}, "subjects": {"type": "array", "items": {"type": "string"}}, "spine": {"type": "string"},
+    },
+    "x-triggers": {"label": {"order": 1, "events": ["onCreate"], "script": "doc.Set('spine', upper(doc.Get('title')) + '/' + doc.Get('shelf'))"}},
+}
+LOAN = {"type": "object", "x-collection": "loan", "required": ["no", "book"], "properties": {"no": {"type": "integer", "x-primary": True}, "book": {"type": "string", "x-foreign": {"collection": "book", "cascade": True}}, "days": {"type": "number"}}}
+HELPERS = "function staff(meta) { return meta.Get('desk') == 'main' }"
+MAIN = Context({"desk": "main"})
 
 
 @pytest.fixture
 def db(spark, tmp_path):
-    d = Database(spark, f"file://{tmp_path}", LIBRARY)
-    d.configure([TASK, USER, ACCOUNT], context=ROOT)
+    d = Database(spark, f"file://{tmp_path}", HELPERS)
+    d.configure([LOAN, BOOK, SHELF], context=MAIN)
     return d
 
 
-def seed(db, users=3):
+def fill(db):
     def work(t):
-        for a in ("0", "1"):
-            t.create("account", {"_id": a, "name": f"acc{a}"})
-        for i in range(users):
-            t.create("user", {"_id": f"u{i}", "name": f"n{i}", "age": i * 10, "account_id": str(i % 2), "contact": {"email": f"u{i}@x.co"}, "birthday_month": "May", "tags": ["a", f"t{i}"]})
-            t.create("task", {"_id": f"k{i}", "user": f"u{i}", "content": f"c{i}"})
-
-    db.tx(work, ROOT)
-
-
-def test_create_get_defaults_and_extra_fields(db):
-    seed(db)
-    a = db.get("account", "0", ROOT)
-    assert a.get("status") == "inactive" and a.get("created_at") > 1_600_000_000_000
-    u = db.get("user", "u1", ROOT)
-    assert u.get("contact.email") == "u1@x.co" and u.get("birthday_month") == "May" and u.get("timestamp").endswith("Z")
-    with pytest.raises(NotFound):
-        db.get("user", "nobody", ROOT)
-    assert [d.get("_id") for d in db.batch_get("user", ["u2", "u0"], ROOT)] == ["u2", "u0"]
-    with pytest.raises(NotFound):
-        db.batch_get("user", ["u2", "x"], ROOT)
-
-
-def test_query_join_and_explain(db):
-    seed(db)
-    q = Q().select("_id", Select("acc.name", as_="account")).join(Join("account", (Where("_id", "eq", "$account_id"),), "acc")).where(Where("age", "gte", 10)).order_by(OrderBy("age", "desc")).query()
-    page = db.query("user", q, ROOT)
-    assert [(r["_id"], r["account"]) for r in page.rows()] == [("u2", "acc0"), ("u1", "acc1")] and page.next_page == 1
-    assert db.query("user", Q().where(Where("account_id", "eq", "1")).query(), ROOT).explain.index in ("account_id.foreignidx", "account_email_idx")
-    assert db.query("user", Q().where(Where("_id", "eq", "u1")).query(), ROOT).explain.matched_fields == ("_id",)
-    assert db.query("user", Q().select("_id").where(Where("birthday_month", "eq", "May")).query(), ROOT).count() == 3
-    assert db.query("user", Q().select("_id").where(Where("tags", "contains", "t1")).query(), ROOT).rows() == [{"_id": "u1"}]
-    total = db.query("user", Q().select("account_id", Select("age", "sum")).group_by("account_id").order_by(OrderBy("account_id")).query(), ROOT).rows()
-    assert total == [{"account_id": "0", "sum_age": 20.0}, {"account_id": "1", "sum_age": 10.0}]
-
-
-def test_constraints(db):
-    seed(db)
-    with pytest.raises(Validation, match="foreign key"):
-        db.tx(lambda t: t.create("user", {"_id": "x", "name": "x", "age": 1, "account_id": "99"}), ROOT)
-    with pytest.raises(Validation, match="unique"):
-        db.tx(lambda t: t.create("user", {"_id": "x", "name": "x", "age": 1, "account_id": "1", "contact": {"email": "u1@x.co"}}), ROOT)
-    db.tx(lambda t: t.create("user", {"_id": "y", "name": "y", "age": 1, "account_id": "1", "contact": {"email": "u1@x.com"}}), ROOT)
-    for bad in ({"age": -1}, {"age": "7"}, {"gender": "other"}, {"name": None}):
-        with pytest.raises(Validation):
-            db.tx(lambda t, bad=bad: t.create("user", {"_id": "z", "name": "z", "age": 1, "account_id": "1", **bad}), ROOT)
-    with pytest.raises(Validation, match="exists"):
-        db.tx(lambda t: t.create("user", {"_id": "u1", "name": "z", "age": 1, "account_id": "1"}), ROOT)
+        t.create("shelf", {"code": "A", "floor": 1})
+        t.create("shelf", {"code": "B", "floor": 2, "mood": "lively"})
+        for n, (title, shelf) in enumerate([("Tides", "A"), ("Moss", "B"), ("Rust", "A")]):
+            t.create("book", {"isbn": f"i{n}", "title": title, "pages": 100 * (n + 1), "shelf": shelf, "print": {"barcode": f"|{n}|"}, "subjects": ["nature", title.lower()], "donor": "Ines"})
+            t.create("loan", {"no": n, "book": f"i{n}", "days": 2.5})
+
+    db.tx(work, MAIN)
+
+
+def titles(db, *wheres):
+    return sorted(r["title"] for r in db.query("book", Q().select("title").where(*wheres).query(), MAIN).rows())
+
+
+def test_single_documents(db):
+    fill(db)
+    assert db.get("shelf", "A", MAIN).get("mood") == "quiet" and db.get("shelf", "B", MAIN).get("mood") == "lively"
+    assert abs(db.get("shelf", "A", MAIN).get("opened") - time.time()) < 600
+    book = db.get("book", "i1", MAIN)
+    assert book.get("spine") == "MOSS/B" and book.get("donor") == "Ines" and book.get("print.barcode") == "|1|"
+    assert [d.get("title") for d in db.batch_get("book", ["i2", "i0"], MAIN)] == ["Rust", "Tides"]
+    for read in (lambda: db.get("book", "i9", MAIN), lambda: db.batch_get("book", ["i0", "i9"], MAIN)):
+        with pytest.raises(NotFound):
+            read()
+
+
+def test_queries(db):
+    fill(db)
+    assert titles(db, Where("pages", "gt", 150)) == ["Moss", "Rust"] and titles(db, Where("subjects", "contains", "moss")) == ["Moss"] and len(titles(db, Where("donor", "eq", "Ines"))) == 3
+    placed = Q().select("title", Select("at.floor", as_="floor")).join(Join("shelf", (Where("code", "eq", "$shelf"),), "at")).order_by(OrderBy("pages", "desc")).limit(2).query()
+    page = db.query("book", placed, MAIN)
+    assert [(r["title"], r["floor"]) for r in page.rows()] == [("Rust", 1), ("Moss", 2)] and page.next_page == 1
+    by_shelf = db.query("book", Q().select("shelf", Select("pages", "sum")).group_by("shelf").order_by(OrderBy("shelf")).query(), MAIN).rows()
+    assert by_shelf == [{"shelf": "A", "sum_pages": 400.0}, {"shelf": "B", "sum_pages": 200.0}]
+    chosen = db.query("book", Q().where(Where("pages", "lt", 150), Where("shelf", "eq", "A")).query(), MAIN).explain
+    assert chosen.index == "by_place" and chosen.equal == (("shelf", "A"),) and chosen.bound.field == "pages" and chosen.backwards
+    met = []
+    assert db.for_each("book", lambda d: met.append(d.get("title")), [Where("title", "hasSuffix", "st")], context=MAIN) == 1 and met == ["Rust"]
+
+
+def test_what_is_refused(db, spark):
+    fill(db)
+    new = {"isbn": "n", "title": "New", "pages": 5, "shelf": "A"}
+    for change, message in (({"shelf": "Z"}, "foreign key"), ({"print": {"barcode": "|1|"}}, "unique"), ({"pages": 0}, "pages"), ({"pages": "many"}, "pages"), ({"binding": "wood"}, "binding"), ({"title": None}, "title"), ({"isbn": "i1"}, "exists")):
+        with pytest.raises(Validation, match=message):
+            db.tx(lambda t, change=change: t.create("book", {**new, **change}), MAIN)
     with pytest.raises(NotFound):
-        db.tx(lambda t: t.update("user", "nobody", {"age": 1}), ROOT)
+        db.tx(lambda t: t.update("book", "i9", {"pages": 4}), MAIN)
+    twice = spark.createDataFrame([("n", "One", 1, "A"), ("n", "Two", 2, "A")], "isbn string, title string, pages bigint, shelf string")
+    for write in ("create_all", "set_all"):
+        with pytest.raises(Validation, match="twice"):
+            db.tx(lambda t, write=write: getattr(t, write)("book", twice), MAIN)
+    assert len(titles(db)) == 3
 
 
-def test_update_immutable_and_own_reads(db):
-    seed(db)
+def test_transactions_see_their_writes_and_roll_back(db):
+    fill(db)
 
     def work(t):
-        assert t.update("account", "0", {"name": "other", "status": "active"}).get("name") == "acc0"
-        u = t.update("user", "u0", {"contact.email": "new@x.co", "city": "B"})
-        assert u.get("contact.email") == "new@x.co" and u.get("name") == "n0" and u.get("city") == "B" and u.get("birthday_month") == "May"
-
-    db.tx(work, ROOT)
-    assert db.get("account", "0", ROOT).get("status") == "active"
-    with pytest.raises(RuntimeError):
-        db.tx(lambda t: (t.delete("user", "u0"), (_ for _ in ()).throw(RuntimeError())), ROOT)
-    assert db.get("user", "u0", ROOT).get("city") == "B"
-
-
-def test_cascade_and_bulk(db, spark):
-    seed(db)
-    db.tx(lambda t: t.delete("account", "0"), ROOT)
-    assert sorted(r["_id"] for r in db.query("user", Query(), ROOT).rows()) == ["u1"]
-    assert sorted(r["_id"] for r in db.query("task", Query(), ROOT).rows()) == ["k1"]
-    rows = spark.range(500).selectExpr("concat('b', id) as _id", "'n' as name", "id as age", "'1' as account_id")
-    db.tx(lambda t: t.set_all("user", rows), ROOT)
-    assert db.query("user", Q().select("_id").where(Where("age", "lt", 100), Where("name", "eq", "n")).query(), ROOT).count() == 100
+        assert t.update("shelf", "A", {"floor": 7, "mood": "loud"}).get("floor") == 1
+        changed = t.update("book", "i0", {"print.barcode": "new", "signed": True})
+        assert changed.get("print.barcode") == "new" and changed.get("donor") == "Ines" and changed.get("signed") is True
+
+    db.tx(work, MAIN)
+    assert db.get("shelf", "A", MAIN).get("mood") == "loud"
+
+    def fail(t):
+        t.delete("book", "i0")
+        raise KeyError("stop")
+
+    with pytest.raises(KeyError):
+        db.tx(fail, MAIN)
+    assert db.get("book", "i0", MAIN).get("signed") is True
+    first, second = db.begin(MAIN), db.begin(MAIN)
+    first.set("loan", {"no": 50, "book": "i0"})
+    second.set("loan", {"no": 51, "book": "i0"})
+    first.commit()
     with pytest.raises(DocError, match="conflict"):
-        a, b = db.begin(ROOT), db.begin(ROOT)
-        a.set("account", {"_id": "7", "name": "a"})
-        b.set("account", {"_id": "8", "name": "b"})
-        a.commit()
-        b.commit()
-
-
-def test_change_log_time_travel_revert_and_stream(db, tmp_path):
-    seed(db, 1)
-    t0 = time.time_ns()
-    db.tx(lambda t: t.update("user", "u0", {"age": 10}), ROOT)
-    t1 = time.time_ns()
-    db.tx(lambda t: t.update("user", "u0", {"age": 9, "gender": "male"}), ROOT)
-    t2 = time.time_ns()
-    db.tx(lambda t: t.delete("user", "u0"), ROOT)
-    r = db.begin(ROOT, True)
-    assert r.time_travel("user", "u0", t0).get("age") == 0
-    assert r.time_travel("user", "u0", t1).get("age") == 10 and not r.time_travel("user", "u0", t1).exists("gender")
-    assert r.time_travel("user", "u0", t2).get("gender") == "male"
-    assert r.snapshot("user", t1).count() == 1 and r.snapshot("user", 1).count() == 0
+        second.commit()
+
+
+def test_cascades_and_frames(db, spark):
+    fill(db)
+    db.tx(lambda t: t.delete("shelf", "A"), MAIN)
+    assert titles(db) == ["Moss"] and [r["no"] for r in db.query("loan", Query(), MAIN).rows()] == [1]
+    many = spark.range(300).selectExpr("concat('m', id) as isbn", "'Many' as title", "id + 1 as pages", "'B' as shelf")
+    db.tx(lambda t: t.create_all("book", many), MAIN)
+    db.tx(lambda t: t.update_all("book", many.where("pages <= 100").selectExpr("isbn", "'First' as title")), MAIN)
+    assert len(titles(db, Where("title", "eq", "First"))) == 100 and len(titles(db, Where("title", "eq", "Many"))) == 200
+
+
+def test_history(db, tmp_path):
+    fill(db)
+    moments = [time.time_ns()]
+    for change in ({"pages": 111}, {"pages": 112, "binding": "cloth"}):
+        db.tx(lambda t, change=change: t.update("book", "i0", change), MAIN)
+        moments.append(time.time_ns())
+    db.tx(lambda t: t.delete("book", "i0"), MAIN)
+    past = db.begin(MAIN, True)
+    assert [past.time_travel("book", "i0", m).get("pages") for m in moments] == [100, 111, 112]
+    assert not past.time_travel("book", "i0", moments[1]).exists("binding") and past.time_travel("book", "i0", moments[2]).get("binding") == "cloth"
+    assert past.snapshot("book", moments[0]).count() == 3 and past.snapshot("book", 1).count() == 0
     with pytest.raises(NotFound):
-        r.time_travel("user", "u0", time.time_ns())
-    db.tx(lambda t: t.revert("user", "u0", t1), ROOT)
-    assert db.get("user", "u0", ROOT).get("age") == 10
-    with pytest.raises(Forbidden):
-        db.begin(ROOT, True).revert("user", "u0", t1)
-    log = db.query("system_cdc", Q().where(Where("collection", "eq", "user")).order_by(OrderBy("timestamp")).query(), ROOT).rows()
-    assert [c["action"] for c in log] == ["create", "update", "update", "delete", "set"]
-    seen = []
-    subscribe(db, "user", lambda c: seen.append(c["action"]), f"{tmp_path}/cp", [Where("action", "neq", "create")], ROOT)
-    assert seen == ["update", "update", "delete", "set"]
-    db.tx(lambda t: t.update("user", "u0", {"age": 11}), ROOT)
-    subscribe(db, "user", lambda c: seen.append(c["documentID"]), f"{tmp_path}/cp", [Where("action", "neq", "create")], ROOT)
-    assert seen[4:] == ["u0"]
-    stopped = []
-    subscribe(db, "*", lambda c: (stopped.append(c), False)[1], f"{tmp_path}/cp2", (), Context(internal=True))
-    assert len(stopped) == 1
-    with pytest.raises(Forbidden):
-        subscribe(db, "*", print, f"{tmp_path}/cp3", (), ROOT)
-
-
-def test_authorization(db):
-    seed(db)
-    with pytest.raises(Forbidden):
-        db.tx(lambda t: t.set("account", {"_id": "1", "name": "x"}), Context({"roles": ["read_only"], "account_id": "1"}))
-    with pytest.raises(Forbidden):
-        db.tx(lambda t: t.set("account", {"_id": "1", "name": "x"}), Context({"account_id": "2"}))
-    db.tx(lambda t: t.set("account", {"_id": "1", "name": "x"}), Context({"account_id": "1"}))
-    assert db.get("account", "1", Context({"groups": ["1"]})).get("_id") == "1"
+        past.time_travel("book", "i0", time.time_ns())
     with pytest.raises(Forbidden):
-        db.get("account", "0", Context({"groups": ["1"]}))
+        past.revert("book", "i0", moments[1])
+    db.tx(lambda t: t.revert("book", "i0", moments[1]), MAIN)
+    assert db.get("book", "i0", MAIN).get("pages") == 111
+    of_book = Q().where(Where("documentID", "eq", "i0"), Where("collection", "eq", "book")).order_by(OrderBy("timestamp")).query()
+    assert [c["action"] for c in db.query("system_cdc", of_book, MAIN).rows()] == ["create", "update", "update", "delete", "set"]
+
+
+def test_streams(db, tmp_path):
+    fill(db)
+    db.tx(lambda t: t.update("book", "i1", {"pages": 7}), MAIN)
+    got = []
+    follow = lambda handler, name: subscribe(db, "book", handler, f"{tmp_path}/{name}", [Where("action", "eq", "update")], MAIN)
+    follow(lambda c: got.append(c["documentID"]), "a")
+    db.tx(lambda t: t.update("book", "i2", {"pages": 8}), MAIN)
+    follow(lambda c: got.append(c["documentID"]), "a")
+    assert got == ["i1", "i2"]
+    some = []
+    query = follow(lambda c: some.append(c["documentID"]) or False, "b")
+    assert some == ["i1"] and not query.isActive
+    follow(lambda c: some.append(c["documentID"]), "b")
+    assert some[1:] == ["i1", "i2"]  # the batch in which it stopped comes again
+    everything = []
+    subscribe(db, "*", lambda c: everything.append(c), f"{tmp_path}/c", (), Context(internal=True))
+    assert len(everything) == 10
     with pytest.raises(Forbidden):
-        db.tx(lambda t: t.create("system_cdc", {"_id": "1"}), ROOT)
-
-
-def test_namespaces_commands_scripts_and_locks(db):
-    seed(db)
-    other = Context({"namespace": "b", "roles": ["super_user"]})
-    assert db.query("user", Query(), other).count() == 0
-    t = db.begin(ROOT)
-    assert t.cmd({"create": {"collection": "account", "document": {"_id": "5", "name": "five"}}})["create"]["status"] == "inactive"
-    assert t.cmd({"update": {"collection": "account", "id": "5", "update": {"status": "on"}}})["update"]["status"] == "on"
-    assert t.cmd({"get": {"collection": "account", "id": "nobody"}})["error"]["code"] == 404
-    assert t.cmd({"query": {"collection": "account", "query": {"select": [{"field": "_id"}], "limit": 2}}})["page"]["count"] == 2
-    assert t.cmd({"delete": {"collection": "account", "id": "5"}}) == {"delete": {}} and t.cmd({}) == {"error": {"code": 400, "messages": ["unsupported command"]}}
-    assert t.cmd({"rollback": {}}) == {"rollback": {}}
-    assert db.run_script("function f(a) { return a + params.n * 2 } f(1) > 4 && !false ? 'yes' : 'no'", {"n": 2}) == "yes"
-    seen = []
-    assert db.for_each("user", lambda d: seen.append(d.get("_id")), [Where("name", "hasPrefix", "n")], context=ROOT) == 3
-    lock = db.store(ROOT).lock("user")
-    assert lock.try_lock() and lock.is_locked() and not db.store(ROOT).lock("user").try_lock()
+        subscribe(db, "*", print, f"{tmp_path}/d", (), MAIN)
+
+
+def test_rules(db):
+    fill(db)
+    upstairs, visitor = Context({"desk": "stairs", "floor": 2}), Context({"desk": "visitor", "floor": 1})
+    db.tx(lambda t: t.set("shelf", {"code": "B", "floor": 2, "mood": "calm"}), upstairs)
+    assert db.get("shelf", "B", visitor).get("mood") == "calm"
+    for context, write in ((upstairs, lambda t: t.set("shelf", {"code": "A", "floor": 1})), (visitor, lambda t: t.delete("shelf", "A")), (upstairs, lambda t: t.create("shelf", {"code": "C", "floor": 2})), (MAIN, lambda t: t.create("system_cdc", {"_id": "1"}))):
+        with pytest.raises(Forbidden):
+            db.tx(write, context)
+
+
+def test_commands_scripts_namespaces_and_locks(db):
+    fill(db)
+    branch = Context({"namespace": "branch", "desk": "main"})
+    assert db.query("shelf", Query(), branch).count() == 0
+    t = db.begin(MAIN)
+    assert t.cmd({"create": {"collection": "shelf", "document": {"code": "D", "floor": 3}}})["create"]["mood"] == "quiet"
+    assert t.cmd({"update": {"collection": "shelf", "id": "D", "update": {"mood": "odd"}}})["update"]["mood"] == "odd"
+    assert t.cmd({"get": {"collection": "shelf", "id": "Q"}})["error"]["code"] == 404 and t.cmd({"lend": {}})["error"]["code"] == 400
+    assert t.cmd({"query": {"collection": "shelf", "query": {"select": [{"field": "code"}], "where": [{"field": "floor", "op": "gte", "value": 2}]}}})["page"]["count"] == 2
+    assert t.cmd({"delete": {"collection": "shelf", "id": "D"}}) == {"delete": {}} and t.cmd({"rollback": {}}) == {"rollback": {}}
+    assert db.run_script("function twice(x) { return x * 2 } twice(params.n) == 8 ? [params.n, 'ok'] : null", {"n": 4}) == [4, "ok"]
+    lock = db.store(MAIN).lock("stocktaking")
+    assert lock.try_lock() and lock.is_locked() and lock.renew() and not db.store(MAIN).lock("stocktaking").try_lock()
     lock.unlock()
-    assert not lock.is_locked()
+    assert not lock.is_locked() and not lock.renew()
 
 
-def test_configure_plan_and_drop(db):
-    assert db.plan([TASK, USER, ACCOUNT]).is_empty
-    p = db.plan([USER.replace("minimum: 0", "minimum: 1"), ACCOUNT])
-    assert [i.collection for i in p.to_delete] == ["task"] and [i.collection for i in p.to_replace] == ["user"] and not p.to_create
-    assert [(o.op, o.path) for o in p.to_replace[0].diff] == [("replace", "properties.age.minimum")]
-    db.configure([USER, ACCOUNT], context=ROOT)
-    assert db.collections() == ["account", "system_cdc", "user"]
+def test_configuration(db):
+    fill(db)
+    assert db.plan([LOAN, BOOK, SHELF]).is_empty
+    longer = {**BOOK, "properties": {**BOOK["properties"], "pages": {"type": "string"}}}
+    plan = db.configure([longer, SHELF], context=MAIN)
+    assert [i.collection for i in plan.to_delete] == ["loan"] and [i.collection for i in plan.to_replace] == ["book"] and not plan.to_create
+    assert titles(db, Where("pages", "eq", "200")) == ["Moss"] and db.collections() == ["book", "shelf", "system_cdc"]
     with pytest.raises(Validation):
-        db.configure([USER], context=ROOT)
+        db.configure([longer], context=MAIN)
+    db.configure([LOAN, longer, SHELF], context=MAIN)
+    assert db.query("loan", Query(), MAIN).count() == 0

@@ -2,10 +2,10 @@ import pytest
 import sqlcheck
 
 import __spark_entry__ as entry
-from docmill import queries, queries_dml
+from docmill import queries, queries_dml, queries_more
 
-QUERIES = {**queries.QUERIES, **queries_dml.QUERIES}
-SQL = {**queries.SQL, **queries_dml.SQL}
+QUERIES = {**queries.QUERIES, **queries_dml.QUERIES, **queries_more.QUERIES}
+SQL = {**queries.SQL, **queries_dml.SQL, **queries_more.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
