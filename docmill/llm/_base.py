@@ -49,7 +49,7 @@ def scratch_root(spark: SparkSession) -> str:
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="docmill-")
