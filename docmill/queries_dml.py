@@ -1,4 +1,4 @@
-"""Registered queries of writes, constraints, history and streams. Stores live in the session's shared folder, or a temporary one."""
+"""Registered queries of writes, constraints, history and streams. Stores live in the session's shared folder, or in local mode in a temporary one."""
 
 from __future__ import annotations
 
@@ -24,7 +24,11 @@ _KINDS = {"string": "string", "int": "integer", "bigint": "integer", "double": "
 
 def _root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/docmill-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='docmill-')}"
+    if shared:
+        return f"{shared.rstrip('/')}/docmill-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='docmill-')}"
 
 
 def _schema_of(df: DataFrame, name: str, key: str, **extra: dict) -> dict:
