@@ -45,16 +45,29 @@ def _world(spark: SparkSession, sf_dir: str) -> Database:
     return db
 
 
+def _market(spark: SparkSession, sf_dir: str) -> Database:
+    """Regions, nations and all customers; customers refer to nations, nations to regions."""
+    customer = table(spark, sf_dir, "customer")
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    up = lambda name: {"x-foreign": {"collection": name, "cascade": True}}
+    db = Database(spark, _root(spark))
+    db.configure([_schema_of(region, "region", "r_regionkey"), _schema_of(nation, "nation", "n_nationkey", n_regionkey=up("region")), _schema_of(customer, "customer", "c_custkey", c_nationkey=up("nation"))])
+    db.tx(lambda t: (t.create_all("region", region), t.create_all("nation", nation), t.create_all("customer", customer)))
+    return db
+
+
 def _rows(df: DataFrame) -> DataFrame:
     return df.drop(schema.EXTRA)
 
 
 def tx_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = _world(spark, sf_dir)
-    changed = table(spark, sf_dir, "nation").where("n_regionkey = 1").withColumn("n_name", F.lower("n_name"))
-    more = spark.createDataFrame([(900, "NEW", 2)], "n_nationkey int, n_name string, n_regionkey int")
-    db.tx(lambda t: t.set_all("nation", changed.unionByName(more)))
-    return _rows(db.raw("nation"))
+    """Customers of one segment changed and as many new ones, in one frame."""
+    db = _market(spark, sf_dir)
+    customer = table(spark, sf_dir, "customer")
+    changed = customer.where("c_mktsegment = 'BUILDING'").withColumn("c_name", F.lower("c_name"))
+    more = customer.where("c_mktsegment = 'MACHINERY'").withColumn("c_custkey", -1 - F.col("c_custkey"))
+    db.tx(lambda t: t.set_all("customer", changed.unionByName(more)))
+    return _rows(db.raw("customer"))
 
 
 def tx_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,16 +81,17 @@ def tx_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tx_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = _world(spark, sf_dir)
+    """One region deleted, which takes its nations and their customers along."""
+    db = _market(spark, sf_dir)
     db.tx(lambda t: t.delete("region", 1))
-    return _rows(db.raw("nation"))
+    return _rows(db.raw("customer"))
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a bulk rename of nations leaves in the change log."""
-    db = _world(spark, sf_dir)
-    db.tx(lambda t: t.update_all("nation", table(spark, sf_dir, "nation").where("n_regionkey = 2").select("n_nationkey", F.lower("n_name").alias("n_name"))))
-    log = db.store(Context()).cdc().where("collection = 'nation' and action = 'update'")
+    """What a bulk rename of customers leaves in the change log."""
+    db = _market(spark, sf_dir)
+    db.tx(lambda t: t.update_all("customer", table(spark, sf_dir, "customer").where("c_nationkey < 10").select("c_custkey", F.lower("c_name").alias("c_name"))))
+    log = db.store(Context()).cdc().where("collection = 'customer' and action = 'update'")
     value = lambda c: docs.from_json_value(F.col(c), paths.T.StringType())
     return log.select("documentID", F.explode("diff").alias("o")).select("documentID", "o.op", "o.path", value("o.value").alias("value"), value("o.beforeValue").alias("before"))
 
@@ -143,14 +157,14 @@ def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations renamed in bulk and set back to what they were."""
+    """Customers renamed in bulk and set back to what they were."""
     import time
 
-    db = _world(spark, sf_dir)
+    db = _market(spark, sf_dir)
     then = time.time_ns()
-    db.tx(lambda t: t.update_all("nation", table(spark, sf_dir, "nation").select("n_nationkey", F.lit("x").alias("n_name"))))
-    db.tx(lambda t: t.set_all("nation", t.snapshot("nation", then)))
-    return _rows(db.raw("nation"))
+    db.tx(lambda t: t.update_all("customer", table(spark, sf_dir, "customer").select("c_custkey", F.lit("x").alias("c_name"))))
+    db.tx(lambda t: t.set_all("customer", t.snapshot("customer", then)))
+    return _rows(db.raw("customer"))
 
 
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,16 +216,16 @@ def cmd_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (tx_upsert, tx_update, tx_delete_cascade, change_log, fk_violations, unique_violations, schema_violations, doc_diff, time_travel, revert, change_stream, explain_choice, plan_diff, authz_matrix, dag_order, cmd_dispatch)}
 
 SQL = {
-    "tx_upsert": "select n_nationkey::bigint as n_nationkey, case when n_regionkey = 1 then lower(n_name) else n_name end as n_name, n_regionkey::bigint as n_regionkey from nation union all select 900, 'NEW', 2",
+    "tx_upsert": "select c_custkey, case when c_mktsegment = 'BUILDING' then lower(c_name) else c_name end as c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer union all select -1 - c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_mktsegment = 'MACHINERY'",
     "tx_update": "select c_custkey, c_name, c_nationkey::bigint as c_nationkey, case when c_mktsegment = 'BUILDING' then 0.0 else c_acctbal end as c_acctbal, c_mktsegment from customer",
-    "tx_delete_cascade": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation where n_regionkey <> 1",
-    "change_log": "select n_nationkey::varchar as documentID, 'replace' as op, 'n_name' as path, lower(n_name) as value, n_name as before from nation where n_regionkey = 2",
+    "tx_delete_cascade": "select c_custkey, c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 1)",
+    "change_log": "select c_custkey::varchar as documentID, 'replace' as op, 'c_name' as path, lower(c_name) as value, c_name as before from customer where c_nationkey < 10",
     "fk_violations": "select o_orderkey::varchar as id, k::varchar as value from (select o_orderkey, case when o_orderkey % 11 = 0 then -o_custkey else o_custkey end as k from orders) where k not in (select c_custkey from customer)",
     "unique_violations": "select 'unique p_name' as rule, p_name as value from part group by p_name having count(*) > 1",
     "schema_violations": "select event_id, n, too_large from (select event_id, ((value > 400)::int + (event_type not in ('click', 'view', 'purchase'))::int + (not regexp_matches(props, '[0-4][0-9]}'))::int)::int as n, value > 400 as too_large from events) where n > 0",
     "doc_diff": "select c_custkey, 'replace' as op, 'c_acctbal' as path, c_acctbal::varchar as before from customer where c_custkey % 3 = 0 and c_acctbal <> 1.5 union all select c_custkey, 'remove', 'c_mktsegment', c_mktsegment from customer where c_custkey % 5 = 0",
     "time_travel": "select user_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value from events where ts < timestamp '2024-01-16 00:00:00' group by user_id",
-    "revert": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation",
+    "revert": "select c_custkey, c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer",
     "change_stream": "select event_id::varchar as _id, user_id::varchar as documentID from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as n from events) where n > 1",
     "explain_choice": "select * from (values ('none', '_id.primaryidx', '', '', false), ('key', '_id.primaryidx', '_id', '', false), ('two', 'account_language_idx', 'account_id,language', '', false), ('range', 'language_idx', '', 'language', true)) v(name, index, matched, seek, reverse)",
     "plan_diff": "select 'delete' as kind, 'user' as collection, 'remove' as op, path from (values ('properties._id.type'), ('properties._id.x-primary'), ('properties.account_id.type'), ('properties.account_id.x-foreign.collection'), ('properties.account_id.x-index.account_language_idx.additional_fields'), ('properties.language.type'), ('properties.language.x-index.language_idx'), ('required'), ('type'), ('x-collection')) v(path)",
