@@ -126,6 +126,20 @@ def test_licenses(spark):
     got = {r["doc_id"]: (r["license"], r["how"], r["line"]) for r in licenses.scan(df, "p").collect()}
     assert got == {0: ("MIT", "file", -1), 1: ("Apache-2.0", "inherited", None), 2: ("Apache-2.0", "file", -1), 3: ("GPL-3.0", "header", 1), 4: (None, "none", None), 5: (None, "none", None), 6: ("MIT", "inherited", None), 7: ("MIT", "inherited", None)}
     assert licenses.scan(df.limit(0), "p").count() == 0
+    assert {r["n_lines"] for r in licenses.scan(df, "p").where("how = 'header'").collect()} == {1}
+
+
+def test_licences_over_several_lines(spark):
+    texts = ["x\n# Licensed under the Apache\n#   License, Version 2.0.\nx = 1", "// This work is licensed under\n// the GNU General Public\n// License, version 3.\nend", "\n\nReleased under the MIT License.\n\n",
+             "This work is licensed\nunder a Creative Commons\nAttribution 4.0\nInternational License.", None, "", "Released under the MIT License.\n" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("p", F.lit("a/b"))
+    got = {r["doc_id"]: (r["license"], r["line"], r["n_lines"]) for r in licenses.scan(df, "p").collect()}
+    assert got[0] == ("Apache-2.0", 1, 2) and got[1] == ("GPL-3.0", 0, 3) and got[2] == ("MIT", 2, 1) and got[6] == ("MIT", 0, 1)
+    assert got[4] == got[5] == (None, None, None)
+    one = {r["doc_id"]: r["license"] for r in licenses.scan(df, "p", header_lines=1).collect()}
+    assert one[2] == "MIT" and one[1] is None
+    four = {r["doc_id"]: (r["license"], r["line"], r["n_lines"]) for r in licenses.scan(df, "p", header_lines=4).collect()}
+    assert four[3] == ("CC-BY-4.0", 0, 4)
 
 
 def test_bpe_equals_the_library(spark, docs):
