@@ -142,6 +142,20 @@ def test_licences_over_several_lines(spark):
     assert four[3] == ("CC-BY-4.0", 0, 4)
 
 
+def test_wrapped_licences_equal_their_sql(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    texts = ["a\n# Licensed under the Apache\n# License, Version 2.0.\nb", "Released\nunder the\nMIT License.\n\nx", "Released under\nthe MIT License.", "plain", None, "\nReleased under the MIT License.\n"]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "source": ["s", "s", "t", "t", "u", None], "lang": "en"})
+    documents.to_parquet(tmp_path / "documents.parquet")
+    got = licenses.op3_licenses(spark, str(tmp_path)).toPandas()
+    assert sorted(got["n_lines"].dropna()) == [1, 2, 2, 3]
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sqlcheck.rows(got) == sqlcheck.rows(con.sql(licenses.OP3_SQL).df())
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
